@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bktree, line_windows, ordinal, simhash
+from tideline.llm import bktree, chat_template, html_blocks, line_windows, ordinal, pfair, piece_match, simhash, warc
 
 #: The least P(grade >= 1) that the quality classifier keeps, and the one from which a text counts as toxic.
 KEEP_AT, TOXIC_AT = 0.5, 0.5
@@ -24,11 +24,31 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_quality", "p_good", (F.col("p_good") >= KEEP_AT).alias("kept"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_blocks.main_text(pages, html_blocks.train(pages))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return line_windows.drop_repeated_lines(docs, "lines_removed")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    return chat_template.digests(chat_template.format_conversations(rows.unionByName(more)))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return pfair.mix(docs).select("doc_id", "source", "slot", "place", "block", "target_weight")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_match.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = ordinal.train(docs, labels, "toxic", "words")
@@ -36,6 +56,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= TOXIC_AT).alias("toxic"))
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(read(spark, sf_dir, "pages"))
+    return warc.read_members(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
 
