@@ -256,13 +256,16 @@ def fold(e: tuple) -> tuple:
 def fold_body(body: list) -> list:
     """Statements with folded expressions: decided branches go, neighbouring constant text joins."""
     out: list = []
+
+    def put(e: tuple) -> None:
+        if e[0] == "const" and out and out[-1][0] == "out" and out[-1][1][0] == "const":
+            out[-1] = ("out", ("const", _text(out[-1][1][1]) + _text(e[1])))
+        else:
+            out.append(("out", e))
+
     for s in body:
         if s[0] == "out":
-            e = fold(s[1])
-            if e[0] == "const" and out and out[-1][0] == "out" and out[-1][1][0] == "const":
-                out[-1] = ("out", ("const", _text(out[-1][1][1]) + _text(e[1])))
-            else:
-                out.append(("out", e))
+            put(fold(s[1]))
         elif s[0] == "if":
             branches = []
             for test, inner in s[1]:
@@ -273,7 +276,8 @@ def fold_body(body: list) -> list:
                 if test[0] == "const":
                     break
             if branches and branches[0][0][0] == "const":
-                out += branches[0][1]
+                for inner in branches[0][1]:
+                    put(inner[1]) if inner[0] == "out" else out.append(inner)
             elif branches:
                 out.append(("if", branches))
         elif s[0] == "for":

@@ -277,8 +277,8 @@ class Lstm:
 
     def label(self, pages: list[np.ndarray], batch: int = 128) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
-        out: list = [None] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
+        out: list = [np.zeros(0, bool)] * len(pages)
+        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
             n = max(1, min(batch, 200_000 // max(1, len(pages[order[min(at + batch, len(order)) - 1]]))))

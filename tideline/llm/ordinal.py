@@ -57,6 +57,7 @@ class Forms:
 
     def __init__(self, rows: int):
         self.sum = np.zeros((6, rows))
+        self.last = (-1, 0)  # document and hash of the last word: the next slice may go on with it
 
     def add(self, s: Slice) -> None:
         rows = self.sum.shape[1]
@@ -71,6 +72,10 @@ class Forms:
         h = s.hashes(s.start[at], s.end[at])
         same = np.flatnonzero((h[1:] == h[:-1]) & (s.doc[at][1:] == s.doc[at][:-1])) + 1
         self.sum[4] += np.bincount(s.doc[at[same]], None, rows)
+        if len(at):
+            if (int(s.doc[at[0]]), int(h[0])) == self.last:
+                self.sum[4, self.last[0]] += 1
+            self.last = (int(s.doc[at[-1]]), int(h[-1]))
         self.sum[5] += count(s.kind == MARK)
 
     def features(self) -> list[np.ndarray]:
@@ -151,7 +156,7 @@ class Ordinal:
         return out
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, kind: str, grades: list[float], z: float = 4.0, steps: int = 300, l2: float = 2e-3) -> Ordinal:
+def fit(rows: list[np.ndarray], grade: np.ndarray, kind: str, grades: list[float], by_chance: float = 10, steps: int = 300, l2: float = 2e-3) -> Ordinal:
     """Adam on the mean log-loss; thresholds are a first value and positive gaps, so they stay in order."""
     model = Ordinal(kind, grades)
     k = len(grades) - 1
@@ -165,8 +170,9 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, kind: str, grades: list[float
     share = seen / n
     with np.errstate(divide="ignore", invalid="ignore"):
         r = (np.bincount(x, grade[at], 1 << BITS) / n - share * mean) / (np.sqrt(share * (1 - share)) * spread)
-    strong = np.nan_to_num(np.abs(r), posinf=0) * np.sqrt(n) > z
-    strong &= seen > 2
+    tested = seen > 2
+    bound = np.sqrt(2 * np.log(max(tested.sum() / by_chance, 2)))
+    strong = tested & (np.nan_to_num(np.abs(r), posinf=0) * np.sqrt(n) > bound)
     names = np.flatnonzero(strong)
     number = np.full(1 << BITS, -1)
     number[names] = np.arange(len(names))

@@ -1,23 +1,26 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are lower-cased and white space is made single spaces. An
-item of n code points may be found with up to `share` * n edits. It is split
+Texts and test items are lower-cased, and what stands between runs of letters and
+digits is made one space. An item of n code points may be found with up to `share` * n edits. It is split
 into one piece more than that budget, so that at least one piece of any such
 occurrence is unchanged. An Aho-Corasick automaton finds exact piece hits in
 whole texts; each stretch around hits is verified with Myers' bit-parallel
-distance of the whole item against any substring of the stretch.
+distance of the whole item against any substring of the stretch. (First a count:
+k edits leave all but GRAM * k of the item's runs of GRAM code points, so a
+stretch with fewer of them can't hold it.)
 
 The items of one batch make one broadcast of at most `batch_chars` code points;
 a larger benchmark is matched in several passes over the texts.
 
 Defined cases: null and empty texts match nothing, null and empty items (also
-those of white space only) match nothing; repeated items match each under its
+those without letters and digits) match nothing; repeated items match each under its
 own item_id; one row for each item and text, with the least distance and the
 earliest end that has it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +30,12 @@ from pyspark.sql import functions as F
 from tideline.llm.shared import only
 
 
+GRAM = 5
+_BETWEEN = re.compile(r"[\W_]+")
+
+
 def plain(text: str | None) -> str:
-    return " ".join((text or "").lower().split())
+    return _BETWEEN.sub(" ", (text or "").lower()).strip()
 
 
 def budget(item: str, share: float) -> int:
@@ -81,9 +88,9 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], share: float):
         import ahocorasick
 
-        self.items = [(item_id, text, budget(text, share), Pattern(text)) for item_id, text in items]
+        self.items = [(item_id, text, budget(text, share), Pattern(text), frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))) for item_id, text in items]
         owners: dict[str, list[tuple[int, int]]] = {}
-        for number, (_, text, k, _) in enumerate(self.items):
+        for number, (_, text, k, _, _) in enumerate(self.items):
             for offset, piece in pieces(text, k):
                 owners.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
@@ -99,7 +106,7 @@ class Matcher:
                 starts.setdefault(number, set()).add(end + 1 - size - offset)
         out = []
         for number, found in starts.items():
-            item_id, item, k, pattern = self.items[number]
+            item_id, item, k, pattern, grams = self.items[number]
             exact = text.find(item)
             if exact >= 0:
                 out.append((item_id, 0, k, exact + len(item)))
@@ -108,9 +115,12 @@ class Matcher:
             for start in [*sorted(found), None]:  # starts that are close to each other share a stretch
                 if low is not None and (start is None or start > high + 2 * k):
                     begin = max(0, low - k)
-                    distance, end = pattern.best(text[begin : high + len(item) + k])
-                    if distance < least:
-                        least, at = distance, begin + end
+                    stretch = text[begin : high + len(item) + k]
+                    needed = len(item) - GRAM + 1 - GRAM * k
+                    if sum([stretch[i : i + GRAM] in grams for i in range(len(stretch) - GRAM + 1)]) >= needed:
+                        distance, end = pattern.best(stretch)
+                        if distance < least:
+                            least, at = distance, begin + end
                     low = None
                 if start is not None:
                     low, high = (start, start) if low is None else (low, start)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.llm import bktree, chat_template, html_blocks, line_windows, ordinal, pfair, piece_match, simhash, warc
 
 #: The least P(grade >= 1) that the quality classifier keeps, and the one from which a text counts as toxic.
-KEEP_AT, TOXIC_AT = 0.5, 0.5
+KEEP_AT, TOXIC_AT = 0.5, 0.3
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
