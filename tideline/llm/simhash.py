@@ -114,10 +114,11 @@ def count_within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, c
     masks = table_masks(radius)
     asked = block_tables(only(queries, "fingerprint").distinct(), "fingerprint", radius).withColumnRenamed("fingerprint", "q")
     known = block_tables(only(fingerprints, "fingerprint").groupBy("fingerprint").agg(F.count("*").alias("n")), "fingerprint", radius)
-    known = known.join(asked.select("table", "key").distinct(), ["table", "key"], "left_semi")
+    # Exploding multiplies rows behind the planner's back: without the hints it would broadcast sides that grow with the data.
+    known = known.join(asked.select("table", "key").distinct().hint("merge"), ["table", "key"], "left_semi")
     sizes = known.groupBy("table", "key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     chunks = (
-        known.join(sizes, ["table", "key"])
+        known.join(sizes.hint("merge"), ["table", "key"])
         .withColumn("c", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")))
         .groupBy("table", "key", "c")
         .agg(F.collect_list(F.struct("fingerprint", "n")).alias("held"))
@@ -129,7 +130,7 @@ def count_within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, c
         first = ~F.exists(F.slice(every, 1, F.col("table")), lambda m: diff.bitwiseAND(m) == 0)
         return F.when((F.bit_count(diff) <= radius) & first, x["n"]).otherwise(F.lit(0).cast("long"))
 
-    hits = asked.join(chunks, ["table", "key"]).select("q", F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + found(x)).alias("n"))
+    hits = asked.join(chunks.hint("merge"), ["table", "key"]).select("q", F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + found(x)).alias("n"))
     return hits.groupBy(F.col("q").alias("fingerprint")).agg(F.sum("n").alias("n_near"))
 
 
