@@ -77,11 +77,11 @@ def percent_of_total(df: DataFrame, *by: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """bin, n: equal widths between the least and the greatest value; the last bin is closed. Nulls don't count."""
+    """bin, n: equal widths between the least and the greatest value; the last bin is closed; one value only is bin 0. Nulls don't count."""
     ends = df.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
     x = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x")).crossJoin(F.broadcast(ends))  # one row
-    bin_ = F.least(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
-    return x.groupBy(F.coalesce(bin_, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bin_ = F.coalesce(F.floor(F.try_divide((F.col("_x") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(0))
+    return x.groupBy(F.least(bin_, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def value_counts(df: DataFrame, *by: str) -> DataFrame:
