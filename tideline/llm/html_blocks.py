@@ -54,7 +54,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
-PATH, WORDS, COUNTS, HIDDEN = 96, 32, 8, 24
+PATH, WORDS, COUNTS, HIDDEN = 192, 32, 8, 24
 
 
 @dataclass
@@ -159,7 +159,7 @@ class Vectors:
         if (v := self.paths.get(path)) is None:
             v = np.zeros(PATH, np.float32)
             tags = [e.partition(" ")[0] for e in path]
-            names = [f"t:{t}" for t in set(tags)] + [f"w:{w}" for e in path for w in e.split(" ")[1:]] + [f"end:{'/'.join(tags[-n:])}" for n in (1, 2, 3)]
+            names = [f"t:{t}" for t in set(tags)] + [f"w:{w}" for e in path for w in e.split(" ")[1:]] + [f"own:{w}" for e in path[-1:] for w in e.split(" ")[1:]] + [f"end:{'/'.join(tags[-n:])}" for n in (1, 2, 3)]
             for name in names:
                 h = _text_hash(name)
                 v[h % PATH] += 1 if h >> 40 & 1 else -1
@@ -334,6 +334,7 @@ def made_up_page(rng: np.random.Generator, texts: list[str]) -> str:
         lambda: wrap(pick(named("form", "newsletter", "subscribe", "search", "login"), ("<form>", "</form>"), named("div", "newsletter", "subscribe", "form")), f"<label>{short()}</label><input><p>{short()}</p>" + pick("", say())),
         lambda: wrap(pick(named("aside", "sidebar", "related", "widget"), ("<aside>", "</aside>"), named("div", "sidebar", "widget", "related")), pick("", f"<h3>{short()}</h3>") + pick(links(), prose(2), say())),
     ]
+    other += [lambda: wrap(named(pick("p", "p", "section"), "notice", "ad", "advert", "promo", "sponsored", "share", "related", "cookie"), pick(text(), short()))]
     body = []
     title = HELD + short()
     for _ in range(int(rng.integers(1, 7))):

@@ -136,6 +136,13 @@ def features(column: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray]]:
         yield row, distinct(np.r_[x, y])
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a piece's features, not a batch's, are in memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class Ordinal:
     """weights by feature, thresholds by grade, and the ratings that the grades stand for."""
@@ -213,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str, kind: str, sample: in
     rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rating", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = [f.astype(np.int32) for _, f in features(batch.column("text"), kind)]
             yield pa.RecordBatch.from_arrays([batch.column("rating"), pa.array(x, pa.list_(pa.int32()))], ["rating", "x"])
 
@@ -233,7 +240,7 @@ def grade_texts(docs: DataFrame, model: Ordinal, expected: str, tail: str, at_le
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         values = np.array(m.grades or [0.0])
-        for batch in batches:
+        for batch in small(batches):
             if len(values) > 1:
                 p = m.tails(m.score(batch.column(batch.schema.get_field_index("text"))))
                 mean, over = values[0] + p @ np.diff(values), p[:, at_least - 1]
