@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.shared import small_batches
+
 #: Strings that chat models read as control.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 DEFAULT = (
@@ -401,6 +403,7 @@ def compile_template(template: str) -> Callable[..., tuple[str, list[tuple[int,
 def format_conversations(rows: DataFrame, template: str = DEFAULT) -> DataFrame:
     """conv_id, formatted, spans (array of start, stop) for each conversation of conv_id, turn, role, text."""
     compile_template(template)  # an error shows here, not in a task
+    small_batches(rows.sparkSession)
     order = ["conv_id", "turn", "role", "text"]
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import only
+from tideline.llm.shared import only, small_batches
 from tideline.llm.textvec import mix, slices
 
 #: HTML elements by kind, and words in class, id and role that name a part of a page.
@@ -379,6 +379,7 @@ def train(pages: DataFrame, sample: int = 400, seed: int = 7) -> Lstm:
 
 def main_text(pages: DataFrame, model: Lstm) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some 30,000 floats
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

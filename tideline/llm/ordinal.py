@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import fresh, only
+from tideline.llm.shared import fresh, only, small_batches
 from tideline.llm.textvec import DIGIT, LETTER, MARK, Slice, mix, slices
 
 BITS = 18
@@ -215,6 +215,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, kind: str, grades: list[float
 
 def train(docs: DataFrame, labels: DataFrame, rating: str, kind: str, sample: int = 12_000) -> Ordinal:
     """Fit on at most `sample` labelled rows; their features are found where the texts are."""
+    small_batches(docs.sparkSession)
     rated = only(labels, "doc_id", rating).filter(F.col(f"`{rating}`").isNotNull() & F.col("doc_id").isNotNull())
     chosen = rated.select("doc_id", F.col(f"`{rating}`").cast("double").alias("rating")).orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(sample)
     rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rating", "text")
@@ -234,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, rating: str, kind: str, sample: in
 
 def grade_texts(docs: DataFrame, model: Ordinal, expected: str, tail: str, at_least: int = 1) -> DataFrame:
     """docs with the expected rating and P(grade >= at_least), for every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 floats
     expected, tail = fresh(docs, expected, tail)
 

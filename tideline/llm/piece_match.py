@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import only
+from tideline.llm.shared import only, small_batches
 
 
 GRAM = 5
@@ -142,6 +142,7 @@ def item_batches(items: DataFrame, batch_chars: int) -> Iterator[list[tuple[int,
 
 def _per_batch(items: DataFrame, share: float, batch_chars: int):
     spark = items.sparkSession
+    small_batches(spark)
     for held in item_batches(only(items, "item_id", "text"), batch_chars):
         shared = spark.sparkContext.broadcast((held, share))
         matcher: list[Matcher] = []

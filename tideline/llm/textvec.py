@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 R = 0x9E3779B97F4A7C15
-SLICE = 1 << 21
+SLICE = 1 << 18
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 
 

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import settle, shared_dir
+from tideline.llm.shared import settle, shared_dir, small_batches
 
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -195,6 +195,7 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
 
 def archive(pages: DataFrame, least_bytes: int = 100) -> tuple[DataFrame, str]:
     """Write pages to monolithic archives and normalise them; returns the index and the folder."""
+    small_batches(pages.sparkSession)
     folder = shared_dir(pages.sparkSession)
     spread = pages.sparkSession.sparkContext.defaultParallelism
     whole = settle(write_monoliths(mark_revisits(pages, least_bytes), folder))
