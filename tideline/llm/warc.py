@@ -63,17 +63,21 @@ def urn_page(value: str) -> int | None:
     return None if number == "None" else int(number)
 
 
-def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+def mark_revisits(pages: DataFrame, least_bytes: int = 100, broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, html (null: empty), digest and refers_to.
 
     Of equal payloads of least_bytes or more, the others refer to the smallest page_id.
-    Only digests that occur more than once are joined back.
+    They are found on ids and digests alone. Up to broadcast_rows of them are
+    broadcast to the pages (some 100 bytes each); more are joined by a shuffle.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
-    long = rows.filter(F.octet_length("html") >= least_bytes)
+    long = rows.filter(F.octet_length("html") >= least_bytes).select("page_id", "digest")
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    known = rows.join(firsts, "digest", "left")
-    return known.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    again = long.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    again = settle(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"))
+    again = F.broadcast(again) if again.count() <= broadcast_rows else again.hint("merge")
+    known = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return known.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
