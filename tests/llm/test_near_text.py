@@ -200,3 +200,10 @@ def test_line_windows(spark, sf):
     assert {r.doc_id: r.text for r in line_windows.drop_repeated_lines(docs).collect()} == brute_lines(rows)
     again = docs_of(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")])
     assert sorted(r.text for r in line_windows.drop_repeated_lines(again).collect()) == ["", "a\nb\nc", "a\nb\nc"]
+
+
+def test_keep_one_holds_unrelated_groups_apart(spark):
+    a, b, c, d = "one two three four", "red green blue yellow", "sun moon stars sky", "sea lake river pond"
+    rows = [(None, a), (None, a), (None, b), (None, c), (8, c), (5, d), (5, "up down left right"), (9, "up down left right"), (7, "x y z w"), (7, "x y z w"), (None, None)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in bktree.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([(0, a), (0, b), (8, c), (5, d), (5, "up down left right"), (7, "x y z w"), (0, "")])

@@ -166,6 +166,16 @@ def shingle_fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     return vote(explode_terms(rows, "_text", 3), keys)
 
 
+def marked_roots(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, text_hash and _root (the least fingerprint of the group) of each document."""
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    marks = settle(shingle_fingerprints(keyed, ["doc_id", "text_hash"]))
+    groups = settle(marks.select("fingerprint").distinct())
+    roots = connected_components(fingerprint_links(groups, radius), "u", "v").select(F.col("node").alias("fingerprint"), F.col("root").alias("_root"))
+    of = groups.join(roots, "fingerprint", "left").withColumn("_root", F.coalesce("_root", "fingerprint"))
+    return marks.join(of, "fingerprint").select("doc_id", "text_hash", "_root")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, text_hash, fingerprint (bigint) and component_id of each document.
 
@@ -189,13 +199,21 @@ def report(docs: DataFrame, radius: int = 3) -> DataFrame:
     return near_duplicates(docs, radius).select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One document of each group: that with the smallest doc_id (of rows that repeat it, that with the least text hash)."""
-    kept_id, kept_hash, copy = fresh(docs, "_kept_id", "_kept_hash", "_copy")
-    marks = near_duplicates(docs, radius)
-    kept = marks.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
+def first_of_groups(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row of docs for each group: that with the smallest doc_id, rows without one last, then that with the least text hash.
+
+    `marked` holds doc_id, text_hash and _root, which names a row's group and no other. Rows that repeat
+    the kept one in full are told apart within the group.
+    """
+    kept_id, kept_hash, root, copy = fresh(docs, "_kept_id", "_kept_hash", "_root", "_copy")
+    kept = marked.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash), F.col("_root").alias(root))
     text_hash = F.xxhash64(text_or_empty())
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_hash)), "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(text_hash)
-    return rows.withColumn(copy, F.row_number().over(again)).filter(F.col(copy) == 1).drop(copy)
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_hash)))
+    again = Window.partitionBy(root).orderBy(text_hash)
+    return rows.withColumn(copy, F.row_number().over(again)).filter(F.col(copy) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """One document of each group of fingerprints that links of at most `radius` bits connect."""
+    return first_of_groups(docs, marked_roots(docs, radius))
