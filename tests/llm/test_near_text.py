@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tideline.llm import bktree, components, line_windows, simhash
+import corpus_pipeline
+from tideline.llm import bktree, components, line_windows, near_sets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -207,3 +208,59 @@ def test_keep_one_holds_unrelated_groups_apart(spark):
     rows = [(None, a), (None, a), (None, b), (None, c), (8, c), (5, d), (5, "up down left right"), (9, "up down left right"), (7, "x y z w"), (7, "x y z w"), (None, None)]
     kept = sorted((r.doc_id or 0, r.text or "") for r in bktree.keep_one(docs_of(spark, rows)).collect())
     assert kept == sorted([(0, a), (0, b), (8, c), (5, d), (5, "up down left right"), (7, "x y z w"), (0, "")])
+
+
+def brute_jaccard_kept(rows, share=0.8):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)})
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= share * (len(sets[i]) + len(sets[j]) - common):
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def edited_copies(rng, first, size, copies, edits):
+    base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+    out = [(first, " ".join(base))]
+    for k in range(copies):
+        w = list(base)
+        for e in range(rng.randrange(edits + 1)):
+            w[rng.randrange(size)] = f"new{k}x{e}"
+        out.append((first - 1 - k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [32, 5])
+def test_near_sets_match_brute_jaccard(spark, crowd):
+    rng = random.Random(12)
+    rows = some_texts()
+    for g in range(25):
+        rows += edited_copies(rng, 1000 + 100 * g, rng.randrange(6, 300), 4, 5)
+    rows += edited_copies(rng, 9000, 60, 60, 1)  # the copies reach each other only by their original
+    rows += [(9100 + i, " ".join([f"p{j}" for j in range(30)] + [f"q{rng.randrange(9999)}" for _ in range(90)])) for i in range(40)]
+    docs = docs_of(spark, rows)
+    kept = bktree.first_of_groups(docs, near_sets.roots(docs, crowd=crowd))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_jaccard_kept(rows)
+
+
+def test_near_dedup_stage_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == brute_jaccard_kept(rows)
+    odd = docs_of(spark, [(None, "a b c"), (None, "d e f"), (4, "d e f"), (None, None), (None, " "), (7, "A b C"), (7, "A b C")])
+    assert sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, odd, sf).collect()) in ([(0, ""), (4, "d e f"), (7, "A b C")], [(0, " "), (4, "d e f"), (7, "A b C")])
+    assert corpus_pipeline.near_dedup(spark, odd.limit(0), sf).count() == 0
