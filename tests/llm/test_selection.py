@@ -120,6 +120,14 @@ def test_leaks(spark, sf):
     assert piece_match.drop_leaks(docs, items.limit(0)).count() == 5
 
 
+def test_leaks_of_items_without_id(spark):
+    item = "The quick brown fox jumps over the lazy dog while nobody in the village looks at it"
+    docs = spark.createDataFrame([(1, "before " + item, "en", "s", 1), (5, "clean text", "en", "s", 1)], DOCS)
+    items = spark.createDataFrame([(None, item), (3, item), (None, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in piece_match.leaks(docs, items).collect()} == {(1, None), (1, 3)}
+    assert [r.doc_id for r in piece_match.drop_leaks(docs, items.filter("item_id is null")).collect()] == [5]
+
+
 def shares_hold(order, shares):
     f, got = sum(shares.values()), Counter()
     for t, s in enumerate(order, 1):

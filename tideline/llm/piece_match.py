@@ -14,7 +14,7 @@ a larger benchmark is matched in several passes over the texts.
 
 Defined cases: null and empty texts match nothing, null and empty items (also
 those without letters and digits) match nothing; repeated items match each under its
-own item_id; one row for each item and text, with the least distance and the
+own item_id, which may be null; one row for each item and text, with the least distance and the
 earliest end that has it.
 """
 
@@ -129,14 +129,14 @@ class Matcher:
         return out
 
 
-def item_batches(items: DataFrame, batch_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_batches(items: DataFrame, batch_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The plain items in lists of at most batch_chars code points (or one item)."""
     sizes = items.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     batches = -(-total // max(1, batch_chars // 2)) or 1
     for number in range(batches):
         some = items if batches == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == number)
-        held = sorted((r.item_id, plain(r.text)) for r in some.collect() if r.item_id is not None)
+        held = sorted(((r.item_id, plain(r.text)) for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         yield [(i, t) for i, t in held if t]
 
 
