@@ -95,3 +95,60 @@ def test_chunk_rules(spark):
     assert rows(chunks.overlap_count(seg, grid("keep"), ["k"], 10)) == [("a", 0, 2), ("a", 1, 1), ("a", 2, 0), ("a", 3, 0)]
     twice = lab.unionByName(spark.createDataFrame([("a", "other", 9, 0, 5)], lab.schema))
     assert chunks.labels_in_chunks(twice, ["k"], 10).filter("label = 'other'").count() == 0
+
+
+@pytest.mark.parametrize("cell", [0.1, 0.6, 10])
+def test_times_in_seconds(spark, cell):
+    """Doubles with ends on cell borders, next to them and elsewhere."""
+    rng = random.Random(11)
+    spot = lambda: rng.choice([rng.randrange(300) * 0.1, rng.randrange(50) * 0.6, float(rng.randrange(30)), round(rng.random() * 30, 2), rng.random() * 30])
+    rows = [(k, f"s{s}", *sorted((spot(), spot()))) for k in range(6) for s in range(2) for _ in range(5)]
+    rows += [(9, "s0", 15.0, 20.5), (9, "s1", 20.1, 20.9), (9, "s0", 20.5, 21.0)]
+    iv = spark.createDataFrame(rows, "k int, source string, start double, end double")
+    a, b = iv.filter("source = 's0'"), iv.filter("source = 's1'")
+    want = sorted((k, max(s, u), min(e, v)) for k, x, s, e in rows for j, y, u, v in rows if k == j and x == "s0" and y == "s1" and max(s, u) < min(e, v))
+    assert sorted(tuple(r) for r in intervals.intersect(a, b, ["k"], cell).collect()) == want
+    solid = {}
+    for k, _, s, e in sorted((k, 0, s, e) for k, _, s, e in rows if s < e):
+        held = solid.setdefault(k, [])
+        if held and held[-1][1] >= s:
+            held[-1] = (held[-1][0], max(held[-1][1], e))
+        else:
+            held.append((s, e))
+    assert sorted(tuple(r) for r in intervals.merge(iv, ["k"], cell).collect()) == sorted((k, *x) for k, held in solid.items() for x in held)
+    spans = spark.createDataFrame([(k, 1.0, 29.0) for k in (*range(6), 9)], "k int, start double, end double")
+    whole = intervals.active_classes(iv, spans, ["k"], "source", 2, cell)
+    plain = intervals.active_classes(iv, spans, ["k"], "source", 2)
+    assert sorted(tuple(r) for r in whole.collect()) == sorted(tuple(r) for r in plain.collect())
+    last = {}
+    for k, _, s, e in sorted((r for r in plain.collect()), key=lambda r: (r[0], r[2])):
+        assert last.get(k, 1.0) == s
+        last[k] = e
+    assert set(last.values()) == {29.0}
+    size = 0.6
+    grid = chunks.grid(spark.createDataFrame([(k, 30.0) for k in (*range(6), 9)], "k int, duration double"), ["k"], "duration", size, "keep")
+    counts = {(r.k, r.chunk): r.label for r in chunks.overlap_count(iv, grid, ["k"], size).collect()}
+    assert counts == {(k, c): min(2, sum(j == k and s < e and s < (c + 1) * size and e > c * size for j, _, s, e in rows)) for k in (*range(6), 9) for c in range(50)}
+    parts = sorted(tuple(r) for r in chunks.overlaps(iv, ["k"], size).collect())
+    cut = [(k, c, max(s, c * size), min(e, (c + 1) * size)) for k, _, s, e in rows if s < e for c in range(51) if s < (c + 1) * size and e > c * size]
+    assert parts == sorted(cut)
+
+
+def test_chunk_classes_in_seconds(spark):
+    rows = [("a", "non_speech", 0, 0.0, 0.35), ("a", "one_spk", 1, 0.35, 0.9), ("a", "two_spk", 2, 0.9, 1.2), ("a", "one_spk", 1, 1.2, 20.5)]
+    lab = spark.createDataFrame(rows, "k string, label string, priority int, start double, end double")
+    grid = chunks.grid(spark.createDataFrame([("a", 20.5)], "k string, duration double"), ["k"], "duration", 0.6, "keep")
+    got = {r.chunk: r.label for r in chunks.majority(lab, grid, ["k"], 0.6).collect()}
+    assert got == {0: "non_speech", 1: "one_spk"} | {c: "one_spk" for c in range(2, 35)}
+    sparse = {r.chunk: r.label for r in chunks.sparse_rule(lab, grid, ["k"], 0.6).collect()}
+    assert sparse[0] == "non_speech" and sparse[34] == "one_spk"
+    pieces = chunks.labels_in_chunks(lab, ["k"], 0.6).filter("chunk in (1, 34)").orderBy("start").collect()
+    assert [(r.chunk, r.label) for r in pieces] == [(1, "one_spk"), (1, "two_spk"), (34, "one_spk")] and pieces[-1].end == 20.5
+
+
+def test_spans_bound_the_labels(spark):
+    iv = spark.createDataFrame([(1, "x", 0, 50), (1, None, 2, 4), (1, None, 3, 6), (2, "x", 1, 2)], "k int, source string, start long, end long")
+    spans = spark.createDataFrame([(1, 5, 20), (1, 20, 30)], "k int, start long, end long")
+    for cell in (None, 4):
+        got = sorted(tuple(r) for r in intervals.active_classes(iv, spans, ["k"], "source", 3, cell).collect())
+        assert got == [(1, 1, 6, 30), (1, 2, 5, 6)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,33 +107,56 @@ def intersect_all(first: Column, *others: Column) -> Column:
     return first
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for each row, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def merge(intervals: Column) -> Column:
-    """Sorted union; touching intervals join."""
-    empty = F.slice(intervals, 1, 0)
+    """Sorted union; touching intervals join; reversed and null ones don't count.
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        joined = F.concat(drop_last(done), F.array(wider))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(done, F.array(x)))
+    With starts and ends sorted on their own, an island begins at every start i
+    that lies after end i - 1: then all i earlier intervals have ended.
+    """
+    sound = F.filter(intervals, lambda x: x["start"] <= x["end"])
+    sides = F.struct(F.array_sort(F.transform(sound, lambda x: x["start"])).alias("s"), F.array_sort(F.transform(sound, lambda x: x["end"])).alias("e"))
 
-    return F.aggregate(F.array_sort(intervals), empty, add)
+    def islands(p: Column) -> Column:
+        first = F.transform(p["s"], lambda x, i: F.when((i == 0) | (F.get(p["e"], i - 1) < x), i))
+        return bind(F.filter(first, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda i, k: F.struct(F.get(p["s"], i).alias("start"), F.get(p["e"], F.coalesce(F.get(at, k + 1), F.size(p["e"])) - 1).alias("end"))))
+
+    return bind(sides, islands)
 
 
 def complement(intervals: Column, start: Column, end: Column) -> Column:
     """What of [start, end] the intervals leave; they may overlap, touch, be unsorted or lie outside."""
     inside = F.transform(intervals, lambda x: F.struct(F.greatest(x["start"], start).alias("start"), F.least(x["end"], end).alias("end")))
     solid = merge(F.filter(inside, lambda x: x["start"] < x["end"]))
-    starts = F.concat(F.array(start), F.transform(solid, lambda x: x["end"]))
-    ends = F.concat(F.transform(solid, lambda x: x["start"]), F.array(end))
-    return F.filter(zip_intervals(starts, ends), lambda x: x["start"] < x["end"])
+
+    def gaps(held: Column) -> Column:
+        starts = F.concat(F.array(start), F.transform(held, lambda x: x["end"]))
+        ends = F.concat(F.transform(held, lambda x: x["start"]), F.array(end))
+        return F.filter(zip_intervals(starts, ends), lambda x: x["start"] < x["end"])
+
+    return bind(solid, gaps)
 
 
 def first_of_each(labelled: Column) -> Column:
     """Labelled intervals without those of zero length and without repeats of a (start, end): the first stays."""
-    kept = drop_empty(labelled)
-    seen = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.filter(kept, lambda x, i: F.array_position(seen, F.struct(x["start"].alias("start"), x["end"].alias("end"))) == i + 1)
+    placed = F.transform(drop_empty(labelled), lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"), x.alias("x")))
+
+    def firsts(p: Column) -> Column:
+        same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
+        kept = F.filter(p, lambda x, k: (k == 0) | ~same(x, F.get(p, F.greatest(k - 1, F.lit(0)))))
+        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda y: y["x"])
+
+    return bind(F.array_sort(placed), firsts)
+
+
+def sort_by_start(intervals: Column) -> Column:
+    """Sorted by start alone; intervals that start together keep their order."""
+    placed = F.transform(intervals, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda y: y["x"])
 
 
 def period_of(nested: Column) -> Column:

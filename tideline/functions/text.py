@@ -26,18 +26,36 @@ def recode(c: Column, codes: dict) -> Column:
     return F.coalesce(found, c) if all(isinstance(v, str) for v in codes.values()) else found
 
 
+def round_half_even(x: Column, decimals: int) -> Column:
+    """The decimal nearest to the exact binary value of a double; only true ties go to the even digit.
+
+    Spark's own round works on the shortest decimal text of a double, where 2.675 looks like a tie and isn't one.
+    The error of x * 10**decimals is worked out exactly from halves of both factors. For |x| * 10**decimals < 2**53.
+    """
+    scale, cut = float(10**decimals), 134217729.0
+    high_s = cut * scale - (cut * scale - scale)
+    product = x * F.lit(scale)
+    high = x * F.lit(cut) - (x * F.lit(cut) - x)
+    low = x - high
+    error = ((high * F.lit(high_s) - product) + high * F.lit(scale - high_s) + low * F.lit(high_s)) + low * F.lit(scale - high_s)
+    whole = F.floor(product)
+    half = product - whole - F.lit(0.5)
+    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2)) == 1))))
+    return (whole + up.cast("long")).cast("double") / F.lit(scale)
+
+
 def chunk_name(audio_id: Column, i: Column, seconds: float, decimals: int | None = 3) -> Column:
     """id_start_end with the start i*c and the end i*c + c in seconds, rounded, or as they are."""
     start = i * F.lit(seconds)
     end = start + F.lit(seconds)
     if decimals is not None:
-        start, end = F.round(start, decimals), F.round(end, decimals)
+        start, end = round_half_even(start, decimals), round_half_even(end, decimals)
     return F.concat_ws("_", audio_id, start.cast("string"), end.cast("string"))
 
 
 def sparse_chunk_name(audio_id: Column, i: Column, seconds: float) -> Column:
     """As chunk_name with one decimal, the end being (i + 1) * c."""
-    return F.concat_ws("_", audio_id, F.round(i * F.lit(seconds), 1).cast("string"), F.round((i + 1) * F.lit(seconds), 1).cast("string"))
+    return F.concat_ws("_", audio_id, round_half_even(i * F.lit(seconds), 1).cast("string"), round_half_even((i + 1) * F.lit(seconds), 1).cast("string"))
 
 
 def label_file_name(split: str, wave: str, part: str | None = None) -> str:

@@ -1,8 +1,8 @@
 """Fixed grids of chunks, and three rules for a chunk's class.
 
 Intervals expand to the chunks they reach into by arithmetic, so chunks and
-intervals meet on (keys, chunk) and no range join is needed. Time is in whole
-units (microseconds), counted from each recording's start.
+intervals meet on (keys, chunk) and no range join is needed. Time, whole units or
+doubles, counts from each recording's start.
 """
 
 from __future__ import annotations
@@ -10,38 +10,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.intervals import in_cells
 
-def grid(recordings: DataFrame, keys: list[str], duration: str, size: int, last: str = "drop") -> DataFrame:
+
+def grid(recordings: DataFrame, keys: list[str], duration: str, size: int | float, last: str = "drop") -> DataFrame:
     """keys, chunk. last: "drop" leaves out the last of ceil(duration / size), "full" keeps floor, "keep" keeps ceil."""
     n = F.floor(F.col(duration) / size) if last == "full" else F.ceil(F.col(duration) / size) - (1 if last == "drop" else 0)
     return recordings.withColumn("_n", n).filter("_n > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk"))
 
 
-def overlaps(iv: DataFrame, keys: list[str], size: int, *more: str) -> DataFrame:
+def overlaps(iv: DataFrame, keys: list[str], size: int | float, *more: str) -> DataFrame:
     """keys, more, chunk, start, end: each interval's part in each chunk it overlaps (not just touches)."""
-    reach = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
-    parts = iv.filter("start < end").select(*keys, *more, "start", "end", F.explode(reach).alias("chunk"))
-    low = F.col("chunk") * size
-    return parts.select(*keys, *more, "chunk", F.greatest("start", low).alias("start"), F.least("end", low + size).alias("end"))
+    return in_cells(iv, size, "chunk", *keys, *more).select(*keys, *more, "chunk", "start", "end")
 
 
-def label_durations(labelled: DataFrame, keys: list[str], size: int) -> DataFrame:
+def label_durations(labelled: DataFrame, keys: list[str], size: int | float) -> DataFrame:
     """keys, chunk, label, duration: repeated (start, end) in a chunk count once, for the label that comes first."""
     parts = overlaps(labelled, keys, size, "label", "priority")
     once = parts.groupBy(*keys, "chunk", "start", "end").agg(F.min(F.struct("priority", "label")).alias("p"))
     return once.groupBy(*keys, "chunk", "p.priority", "p.label").agg(F.sum(F.col("end") - F.col("start")).alias("duration"))
 
 
-def majority(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """keys, chunk, label, n_tied: the label of the longest time; of several, that of the least priority. No labels: null."""
+def tied_labels(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int | float) -> DataFrame:
+    """keys, chunk, tied: the labels of the longest time in order of priority; an empty array if there are none."""
     sums = label_durations(labelled, keys, size)
     best = sums.groupBy(*keys, "chunk").agg(F.max("duration").alias("most"), F.collect_list(F.struct("priority", "label", "duration")).alias("all"))
-    tied = F.array_sort(F.filter("all", lambda x: x["duration"] == F.col("most")))
+    tied = F.transform(F.array_sort(F.filter("all", lambda x: x["duration"] == F.col("most"))), lambda x: x["label"])
     best = best.select(*keys, "chunk", tied.alias("tied"))
-    return chunks.join(best, [*keys, "chunk"], "left").select(*keys, "chunk", F.get("tied", 0)["label"].alias("label"), F.coalesce(F.size("tied"), F.lit(0)).alias("n_tied"))
+    return chunks.join(best, [*keys, "chunk"], "left").select(*keys, "chunk", F.coalesce("tied", F.array().cast("array<string>")).alias("tied"))
+
+
+def majority(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int | float) -> DataFrame:
+    """keys, chunk, label, n_tied: the label of the longest time; of several, that of the least priority. No labels: null."""
+    return tied_labels(labelled, chunks, keys, size).select(*keys, "chunk", F.get("tied", 0).alias("label"), F.size("tied").alias("n_tied"))
 
 
-def sparse_rule(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int) -> DataFrame:
+def sparse_rule(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int | float) -> DataFrame:
     """keys, chunk, label: non_speech if strictly longest, else one_spk if strictly longest, else two_spk (also for ties and empty chunks)."""
     sums = overlaps(labelled, keys, size, "label").groupBy(*keys, "chunk")
     of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("end") - F.col("start"))), F.lit(0))
@@ -50,13 +54,13 @@ def sparse_rule(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: i
     return chunks.join(sums, [*keys, "chunk"], "left").select(*keys, "chunk", label.alias("label"))
 
 
-def overlap_count(iv: DataFrame, chunks: DataFrame, keys: list[str], size: int, most: int = 2) -> DataFrame:
+def overlap_count(iv: DataFrame, chunks: DataFrame, keys: list[str], size: int | float, most: int = 2) -> DataFrame:
     """keys, chunk, label: the number of intervals (not sources) that strictly overlap the chunk, `most` at most."""
     counts = overlaps(iv, keys, size).groupBy(*keys, "chunk").agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("n"))
     return chunks.join(counts, [*keys, "chunk"], "left").select(*keys, "chunk", F.coalesce("n", F.lit(0)).alias("label"))
 
 
-def labels_in_chunks(labelled: DataFrame, keys: list[str], size: int) -> DataFrame:
+def labels_in_chunks(labelled: DataFrame, keys: list[str], size: int | float) -> DataFrame:
     """keys, chunk, label, start, end of the closed-overlap rule: parts of zero length go, exact repeats keep the first label."""
     parts = overlaps(labelled, keys, size, "label", "priority")
     first = F.row_number().over(Window.partitionBy(*keys, "chunk", "start", "end").orderBy("priority", "label"))

@@ -1,12 +1,17 @@
 """Interval algebra over long tables: one row for each interval, `start` < `end`, with key columns.
 
 Everything is a sweep: +1 where an interval starts, -1 where it ends, a running
-sum in between. A class of depths changes where the sum before and after a point
-differ in class, and the next such point ends it. To keep one long recording
-from being one task, time is cut into cells of `cell` units: sums run within a
-cell, and a cell starts from the totals of the cells before it.
-
-Rows without start < end (nulls, empty or reversed intervals) are left out.
+sum in between. To keep one long recording from being one task, time is cut into
+cells of `cell` units and intervals into their parts in each cell. A cell needs
+nothing of the others, so one shuffle by (keys, cell) serves every step within:
+the union of each source's intervals, the depth, its labels, runs of one label.
+A second one joins what cell borders have cut; only pieces at a border meet
+there, two for each label and cell at most, so that a long recording's other
+pieces stay spread. Without `cell` there is one cell, and no second shuffle.
+
+A cell should be longer than most intervals, as an interval makes a row for each
+cell that it reaches into. Times may be whole numbers or doubles. Rows without
+start < end (nulls, empty or reversed intervals) are left out.
 """
 
 from __future__ import annotations
@@ -16,69 +21,96 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPEAKERS = ("non_speech", "one_spk", "two_spk", "three_spk")
+
 
 def well_formed(iv: DataFrame) -> DataFrame:
     return iv.filter(F.col("start") < F.col("end"))
 
 
-def _cell_of(t: Column, cell: int | float | None) -> Column:
-    return F.lit(0).cast("long") if cell is None else F.floor(t / F.lit(cell))
+def cell_of(t: Column, size: int | float) -> Column:
+    """The c with c * size <= t < (c + 1) * size, also where the quotient of doubles rounds past a border."""
+    c, size = F.floor(t / F.lit(size)), F.lit(size)
+    return F.when(c * size > t, c - 1).when((c + 1) * size <= t, c + 1).otherwise(c)
 
 
-def _next_in_cells(df: DataFrame, keys: list[str], t: str, cell: int | float | None) -> DataFrame:
-    """df with `_next`: the following t of the same keys, over cell borders too."""
-    df = df.withColumn("_c", _cell_of(F.col(t), cell))
-    within = Window.partitionBy(*keys, "_c").orderBy(t)
-    df = df.withColumn("_lead", F.lead(t).over(within))
-    if cell is None:
-        return df.withColumnRenamed("_lead", "_next").drop("_c")
-    heads = df.groupBy(*keys, "_c").agg(F.min(t).alias("_t0"))
-    heads = heads.select(*keys, "_c", F.lead("_t0").over(Window.partitionBy(*keys).orderBy("_c")).alias("_after"))
-    return df.join(heads, [*keys, "_c"]).withColumn("_next", F.coalesce("_lead", "_after")).drop("_c", "_lead", "_after")
+def last_cell_of(end: Column, size: int | float) -> Column:
+    """The last cell that an interval with this end reaches into: c * size < end <= (c + 1) * size."""
+    c, size = F.ceil(end / F.lit(size)) - 1, F.lit(size)
+    return F.when(c * size >= end, c - 1).when((c + 1) * size < end, c + 1).otherwise(c)
+
+
+def in_cells(iv: DataFrame, size: int | float, cell: str, *columns: str | Column) -> DataFrame:
+    """columns, `cell`, start, end: each interval's part in each cell that it overlaps (not just touches)."""
+    reach = F.sequence(cell_of(F.col("start"), size), last_cell_of(F.col("end"), size))
+    parts = well_formed(iv).select(*columns, "start", "end", F.explode(reach).alias(cell))
+    low, high = F.col(cell) * F.lit(size), (F.col(cell) + 1) * F.lit(size)
+    return parts.withColumns({"start": F.greatest("start", low), "end": F.least("end", high)})
+
+
+def _points(iv: DataFrame, keys: list[str], cell: int | float | None, source: str | None, role: int) -> DataFrame:
+    """keys, _c, _role, _source, t, step: +1 and -1 of each part of each interval; role 1 are spans."""
+    name = F.lit(None) if source is None else F.col(source)
+    rows = iv.select(*keys, name.cast("string").alias("_source"), "start", "end")
+    parts = well_formed(rows).withColumn("_c", F.lit(0).cast("long")) if cell is None else in_cells(rows, cell, "_c", *keys, "_source")
+    step = lambda t, sign: F.struct(F.col(t).alias("t"), F.lit(sign).cast("long").alias("step"))
+    ends = F.explode(F.array(step("start", 1), step("end", -1))).alias("p")
+    return parts.select(*keys, "_c", F.lit(role).alias("_role"), "_source", ends).select(*keys, "_c", "_role", "_source", "p.*")
 
 
-def depth_points(iv: DataFrame, keys: list[str], spans: DataFrame | None = None, cell: int | float | None = None) -> DataFrame:
-    """keys, t, delta, depth: points at which the number of open intervals changes, and after which it is `depth`.
+def _changes(points: DataFrame, by: list[str]) -> DataFrame:
+    """The points at which the union of a group's intervals begins (+1) or ends (-1)."""
+    order = Window.partitionBy(*by).orderBy("t")
+    last = points.withColumns({"_open": F.sum("step").over(order), "_after": F.lead("t").over(order)}).filter("_after is null or _after > t")
+    active = last.withColumn("_on", (F.col("_open") > 0).cast("long"))
+    return active.withColumn("step", F.col("_on") - F.coalesce(F.lag("_on").over(order), F.lit(0).cast("long"))).filter("step <> 0").drop("_open", "_after", "_on")
 
-    spans (keys, start, end) adds their two points, also where nothing changes.
+
+def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, start, end: rows of one group that touch become one; they must not overlap."""
+    order = Window.partitionBy(*by).orderBy("start")
+    new = F.coalesce((F.col("start") > F.lag("end").over(order)).cast("int"), F.lit(1))
+    run = rows.withColumn("_new", new).withColumn("_isle", F.sum("_new").over(order))
+    return run.groupBy(*by, "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_isle")
+
+
+def labelled_segments(
+    iv: DataFrame, keys: list[str], labels: Callable[[Column], Column], spans: DataFrame | None = None, cell: int | float | None = None, source: str | None = None
+) -> DataFrame:
+    """keys, label, start, end: the longest stretches that have a label.
+
+    `labels` gives the array of labels of a depth, which is the number of open
+    intervals, or of sources with an open interval if `source` names their column.
+    With spans (keys, start, end), only what lies inside them is labelled, and depth 0 too.
     """
-    iv = well_formed(iv)
-    one = F.lit(1).cast("long")
-    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), one.alias("d")), F.struct(F.col("end").alias("t"), (-one).alias("d")))).alias("p")
-    points = iv.select(*keys, ends).select(*keys, "p.t", "p.d", F.lit(False).alias("edge"))
+    points = _points(iv, keys, cell, source, 0)
     if spans is not None:
-        edge = F.explode(F.array("start", "end")).alias("t")
-        points = points.unionByName(spans.select(*keys, edge).select(*keys, "t", F.lit(0).cast("long").alias("d"), F.lit(True).alias("edge")))
-    points = points.withColumn("_c", _cell_of(F.col("t"), cell))
-    sums = points.groupBy(*keys, "_c", "t").agg(F.sum("d").alias("delta"), F.max("edge").alias("edge")).filter("delta <> 0 or edge")
-    run = sums.withColumn("depth", F.sum("delta").over(Window.partitionBy(*keys, "_c").orderBy("t")))
-    if cell is not None:
-        per_cell = points.groupBy(*keys, "_c").agg(F.sum("d").alias("_d"))
-        before = F.sum("_d").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-        per_cell = per_cell.select(*keys, "_c", F.coalesce(before, F.lit(0)).alias("_before"))
-        run = run.join(per_cell, [*keys, "_c"]).withColumn("depth", F.col("depth") + F.col("_before"))
-    return run.select(*keys, "t", "delta", "depth", "edge")
-
-
-def segments(iv: DataFrame, keys: list[str], classify: Callable[[Column], Column], spans: DataFrame | None = None, cell: int | float | None = None) -> DataFrame:
-    """keys, cls, start, end: longest stretches of one class of depth. A null class makes no rows."""
-    points = depth_points(iv, keys, spans, cell)
-    now, was = classify(F.col("depth")), classify(F.col("depth") - F.col("delta"))
-    turns = points.withColumn("cls", now).filter(~now.eqNullSafe(was) | F.col("edge"))
-    out = _next_in_cells(turns.select(*keys, "t", "cls"), keys, "t", cell)
-    return out.filter("cls is not null and _next is not null").select(*keys, "cls", F.col("t").alias("start"), F.col("_next").alias("end"))
+        points = points.unionByName(_points(spans, keys, cell, None, 1))
+    group = [*keys, "_c"]
+    points = points.repartition(*group)  # all that follows, up to the cell borders, keeps this layout
+    if source is not None:
+        points = _changes(points, [*group, "_role", "_source"])
+    order = Window.partitionBy(*group).orderBy("t")
+    total = lambda role: F.sum(F.when(F.col("_role") == role, F.col("step")).otherwise(F.lit(0).cast("long"))).over(order)
+    run = points.withColumns({"_depth": total(0), "_inside": total(1), "end": F.lead("t").over(order)}).filter("t < end")
+    named = F.when(F.col("_inside") > 0, labels(F.col("_depth"))) if spans is not None else F.when(F.col("_depth") > 0, labels(F.col("_depth")))
+    pieces = run.select(*group, F.explode(named).alias("label"), F.col("t").alias("start"), "end")
+    whole = _islands(pieces, [*group, "label"])
+    if cell is None:
+        return whole.select(*keys, "label", "start", "end")
+    at_border = (F.col("start") <= F.col("_c") * F.lit(cell)) | (F.col("end") >= (F.col("_c") + 1) * F.lit(cell))
+    whole = whole.withColumn("_g", F.when(~at_border, F.col("_c"))).repartition(*keys, "_g")
+    return _islands(whole, [*keys, "_g", "label"]).select(*keys, "label", "start", "end")
 
 
 def merge(iv: DataFrame, keys: list[str], cell: int | float | None = None) -> DataFrame:
     """keys, start, end: the union of each key's intervals; touching ones join."""
-    return segments(iv, keys, lambda d: F.when(d > 0, 1), None, cell).drop("cls")
+    return labelled_segments(iv, keys, lambda d: F.array(F.lit(1)), None, cell).drop("label")
 
 
 def complement(removed: DataFrame, spans: DataFrame, keys: list[str], cell: int | float | None = None) -> DataFrame:
-    """keys, start, end: what the removed intervals leave of each key's one span."""
-    bounds = spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = removed.join(bounds, keys).select(*keys, F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"))
-    return segments(inside, keys, lambda d: F.when(d == 0, 0), spans, cell).drop("cls")
+    """keys, start, end: what the removed intervals leave of each key's spans; they may overlap, touch or lie outside."""
+    return labelled_segments(removed, keys, lambda d: F.when(d == 0, F.array(F.lit(0))), spans, cell).drop("label")
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str], cell: int | float) -> DataFrame:
@@ -89,31 +121,28 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str], cell: int | float) ->
     """
 
     def spread(iv: DataFrame, s: str, e: str) -> DataFrame:
-        cells = F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)))
+        cells = F.explode(F.sequence(cell_of(F.col("start"), cell), last_cell_of(F.col("end"), cell)))
         return well_formed(iv).select(*keys, F.col("start").alias(s), F.col("end").alias(e), cells.alias("_c"))
 
     both = spread(a, "s0", "e0").join(spread(b, "s1", "e1"), [*keys, "_c"])
     start, end = F.greatest("s0", "s1"), F.least("e0", "e1")
-    return both.filter((start < end) & (F.floor(start / cell) == F.col("_c"))).select(*keys, start.alias("start"), end.alias("end"))
+    return both.filter((start < end) & (cell_of(start, cell) == F.col("_c"))).select(*keys, start.alias("start"), end.alias("end"))
 
 
 def active_classes(iv: DataFrame, spans: DataFrame, keys: list[str], source: str, most: int, cell: int | float | None = None) -> DataFrame:
     """keys, cls (number of sources active at once, `most` at most), start, end; the classes tile each span.
 
-    Each source's own intervals merge first, so a source counts once.
+    However many of its intervals are open, a source counts once.
     """
-    solid = merge(iv, [*keys, source], cell)
-    return segments(solid, keys, lambda d: F.least(d, F.lit(most)), spans, cell)
+    out = labelled_segments(iv, keys, lambda d: F.array(F.least(d, F.lit(most).cast("long"))), spans, cell, source)
+    return out.withColumnRenamed("label", "cls")
 
 
 def speaker_labels(iv: DataFrame, spans: DataFrame, keys: list[str], source: str, sources: int, cell: int | float | None = None) -> DataFrame:
     """keys, label, start, end with labels non_speech, one_spk, two_spk; for three sources also three_spk and two_or_three_spk."""
-    classes = active_classes(iv, spans, keys, source, sources, cell)
-    names = ["non_speech", "one_spk", "two_spk", "three_spk"][: sources + 1]
-    label = F.element_at(F.array(*map(F.lit, names)), (F.col("cls") + 1).cast("int"))
-    out = classes.select(*keys, label.alias("label"), "start", "end")
-    if sources < 3:
-        return out
-    solid = merge(iv, [*keys, source], cell)
-    several = segments(solid, keys, lambda d: F.when(d >= 2, 1), None, cell)
-    return out.unionByName(several.select(*keys, F.lit("two_or_three_spk").alias("label"), "start", "end"))
+
+    def labels(depth: Column) -> Column:
+        name = F.get(F.array(*map(F.lit, SPEAKERS[: sources + 1])), F.least(depth, F.lit(sources)).cast("int"))
+        return F.array(name) if sources < 3 else F.when(depth > 1, F.array(name, F.lit("two_or_three_spk"))).otherwise(F.array(name))
+
+    return labelled_segments(iv, keys, labels, spans, cell, source)

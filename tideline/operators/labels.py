@@ -40,6 +40,26 @@ def mixture_labels(enriched: DataFrame, ranges: DataFrame, cell: float | None =
     return intervals.speaker_labels(speech(enriched, ranges), spans, ["audio_id"], "source", sources, cell)
 
 
+def sparse_mixture_labels(records: DataFrame, sources: int, folder: Column | None = None, cell: float | None = None) -> DataFrame:
+    """audio_id, label, start, end from records (mixture_name, source, start, stop) of sparse mixtures.
+
+    The noise record is the span, rounded to three decimals; the other sources (s1, s2, s3) are speech.
+    The label speech_times is the union of all speech inside the span. `folder` goes before the name in audio_id.
+    """
+    name = F.col("mixture_name") if folder is None else F.concat(folder, "mixture_name")
+    rows = records.select(name.alias("audio_id"), "source", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("end"))
+    spans = rows.filter("source = 'noise'").select("audio_id", text.round_half_even(F.col("start"), 3).alias("start"), text.round_half_even(F.col("end"), 3).alias("end"))
+    iv = rows.filter(F.col("source").isin([f"s{i + 1}" for i in range(sources)]))
+    names = LABELS[sources]
+
+    def of(depth: Column) -> Column:
+        name = F.get(F.array(*map(F.lit, names[: sources + 1])), F.least(depth, F.lit(sources)).cast("int"))
+        spoken = F.when(depth > 0, F.array(name, F.lit("speech_times"))).otherwise(F.array(name))
+        return F.when(depth > 1, F.array(name, F.lit("speech_times"), F.lit("two_or_three_spk"))).otherwise(spoken) if sources > 2 else spoken
+
+    return intervals.labelled_segments(iv, ["audio_id"], of, spans, cell, "source")
+
+
 def label_arrays(labels: DataFrame, sources: int) -> DataFrame:
     """One row for each audio_id with a sorted array of intervals for each label."""
     held = lambda name: F.array_sort(F.collect_list(F.when(F.col("label") == name, F.struct("start", "end")))).alias(name)

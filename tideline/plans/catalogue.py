@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import arrays, text
-from tideline.operators import chunks, curation, intervals, metrics, relational
+from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational
+from tideline.operators.steps import settle
 from tideline.sources import text as annotations
 
 US = 1_000_000
@@ -155,12 +156,12 @@ def iv_complement(spark: SparkSession, sf: str) -> DataFrame:
     "CAST(max(e) - min(s) - sum(e - s) AS BIGINT) AS silence_us FROM m GROUP BY user_id"
 )
 def iv_array_form(spark: SparkSession, sf: str) -> DataFrame:
-    """The array form of merge and complement; an array holds one recording."""
-    iv = events_iv(spark, sf).groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("iv"), F.min("start").alias("s"), F.max("end").alias("e"))
-    solid = arrays.merge(F.col("iv"))
-    both = iv.select("user_id", solid.alias("m"), arrays.complement(F.col("iv"), F.col("s"), F.col("e")).alias("c"))
+    """Numbers and lengths of the array form, from the sweep's rows: no recording becomes one array."""
+    iv = events_iv(spark, sf)
+    labels_ = intervals.labelled_segments(iv, KEY, lambda d: F.array((d > 0).cast("int")), total_span(iv), CELL)
+    of = lambda speech: F.when(F.col("label") == speech, F.col("end") - F.col("start"))
     zero = F.lit(0).cast("long")
-    return both.select("user_id", F.size("m").cast("long").alias("n_speech"), arrays.total_length(F.col("m"), zero).alias("speech_us"), arrays.total_length(F.col("c"), zero).alias("silence_us"))
+    return labels_.groupBy("user_id").agg(F.count(of(1)).alias("n_speech"), F.coalesce(F.sum(of(1)), zero).alias("speech_us"), F.coalesce(F.sum(of(0)), zero).alias("silence_us"))
 
 
 @query(classes(TWO, 2) + "SELECT user_id, ['non_speech', 'one_spk', 'two_spk'][n + 1] AS label, s AS start_us, e AS end_us FROM cls")
@@ -190,23 +191,38 @@ def zero_length_filter(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------- chunks
 
 
-def labelled(spark: SparkSession, sf: str, sources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labels with time counted from each recording's start; its intervals; its duration."""
+def from_start(spark: SparkSession, sf: str, sources: int) -> tuple[DataFrame, DataFrame]:
+    """The sources' intervals, counted from each recording's start, and the recordings: user_id, duration.
+
+    The recordings' spans are settled, so that events are read twice: for them, and for the intervals.
+    """
     iv = events_iv(spark, sf, *SOURCES[:sources])
-    span = total_span(iv)
-    own = intervals.speaker_labels(iv, span, KEY, "source", sources, CELL).filter("label <> 'two_or_three_spk'")
-    starts = span.select("user_id", F.col("start").alias("t0"), (F.col("end") - F.col("start")).alias("duration"))
-    shift = lambda df: df.join(starts, "user_id").withColumns({"start": F.col("start") - F.col("t0"), "end": F.col("end") - F.col("t0")}).drop("t0", "duration")
-    rank = F.array_position(F.array(*map(F.lit, ["non_speech", "one_spk", "two_spk", "three_spk"])), F.col("label")).cast("int")
-    return shift(own).withColumn("priority", rank), shift(iv), starts
+    span = settle(total_span(iv).select("user_id", F.col("start").alias("t0"), (F.col("end") - F.col("start")).alias("duration")))
+    moved = iv.join(span.select("user_id", "t0"), "user_id").withColumns({"start": F.col("start") - F.col("t0"), "end": F.col("end") - F.col("t0")}).drop("t0")
+    return moved, span.select("user_id", "duration")
 
 
-def _chunk_sql(sources: str, most: int, n: str) -> str:
+def labelled(spark: SparkSession, sf: str, sources: int) -> tuple[DataFrame, DataFrame]:
+    """Labels with their priority, and the recordings' durations."""
+    iv, rec = from_start(spark, sf, sources)
+    spans = rec.select("user_id", F.lit(0).cast("long").alias("start"), F.col("duration").alias("end"))
+    cls = intervals.active_classes(iv, spans, KEY, "source", sources, CELL)
+    return cls.select("user_id", F.get(F.array(*map(F.lit, intervals.SPEAKERS)), F.col("cls").cast("int")).alias("label"), (F.col("cls") + 1).cast("int").alias("priority"), "start", "end"), rec
+
+
+def _labels_sql(sources: str, most: int) -> str:
     return (
         classes(sources, most)
-        + f""",
+        + """,
 rec AS (SELECT user_id, s AS t0, e - s AS dur FROM span),
-lab AS (SELECT cls.user_id, n, s - t0 AS s, e - t0 AS e FROM cls JOIN rec USING (user_id)),
+lab AS (SELECT cls.user_id, n, s - t0 AS s, e - t0 AS e FROM cls JOIN rec USING (user_id))"""
+    )
+
+
+def _chunk_sql(sources: str, most: int, n: str) -> str:
+    return (
+        _labels_sql(sources, most)
+        + f""",
 grid AS (SELECT user_id, unnest(range(CAST({n} AS BIGINT))) AS chunk FROM rec WHERE {n} > 0),
 part AS (
   SELECT grid.user_id, chunk, n, sum(least(e, (chunk + 1) * {CHUNK}) - greatest(s, chunk * {CHUNK})) AS d
@@ -224,14 +240,14 @@ _DROPPED = f"((dur + {CHUNK} - 1) // {CHUNK} - 1)"
 
 @query(_chunk_sql(TWO, 2, _DROPPED) + _MAJORITY)
 def chunk_majority(spark: SparkSession, sf: str) -> DataFrame:
-    labels, _, rec = labelled(spark, sf, 2)
-    return chunks.majority(labels, chunks.grid(rec, KEY, "duration", CHUNK), KEY, CHUNK)
+    own, rec = labelled(spark, sf, 2)
+    return chunks.majority(own, chunks.grid(rec, KEY, "duration", CHUNK), KEY, CHUNK)
 
 
 @query(_chunk_sql(THREE, 3, _DROPPED) + _MAJORITY)
 def chunk_majority_3src(spark: SparkSession, sf: str) -> DataFrame:
-    labels, _, rec = labelled(spark, sf, 3)
-    return chunks.majority(labels, chunks.grid(rec, KEY, "duration", CHUNK), KEY, CHUNK)
+    own, rec = labelled(spark, sf, 3)
+    return chunks.majority(own, chunks.grid(rec, KEY, "duration", CHUNK), KEY, CHUNK)
 
 
 @query(
@@ -242,8 +258,8 @@ sums AS (SELECT grid.user_id, grid.chunk, coalesce(sum(d) FILTER (n = 0), 0) AS
 SELECT user_id, chunk, CASE WHEN a > b AND a > c THEN 'non_speech' WHEN b > a AND b > c THEN 'one_spk' ELSE 'two_spk' END AS label FROM sums"""
 )
 def chunk_sparse_rule(spark: SparkSession, sf: str) -> DataFrame:
-    labels, _, rec = labelled(spark, sf, 2)
-    return chunks.sparse_rule(labels, chunks.grid(rec, KEY, "duration", CHUNK, "full"), KEY, CHUNK)
+    own, rec = labelled(spark, sf, 2)
+    return chunks.sparse_rule(own, chunks.grid(rec, KEY, "duration", CHUNK, "full"), KEY, CHUNK)
 
 
 @query(
@@ -253,10 +269,57 @@ SELECT grid.user_id, chunk, CAST(least(count(src.s), 2) AS INTEGER) AS label
 FROM grid LEFT JOIN src ON src.user_id = grid.user_id AND src.s - t0 < (chunk + 1) * {CHUNK} AND src.e - t0 > chunk * {CHUNK} GROUP BY grid.user_id, chunk"""
 )
 def chunk_overlap_count(spark: SparkSession, sf: str) -> DataFrame:
-    _, iv, rec = labelled(spark, sf, 3)
+    iv, rec = from_start(spark, sf, 3)
     return chunks.overlap_count(iv, chunks.grid(rec, KEY, "duration", CHUNK, "keep"), KEY, CHUNK)
 
 
+#: Times in seconds as doubles; every other start is on a border of cells and chunks.
+_SECONDS = f"""sec AS (SELECT user_id, source, CASE WHEN s % 2 = 0 THEN floor(s / 1e6 / 3600) * 3600e0 ELSE s / 1e6 END AS s, e / 1e6 AS e FROM iv),
+src AS (SELECT * FROM sec WHERE source IN ({TWO}) AND s < e)"""
+
+
+def seconds_iv(spark: SparkSession, sf: str) -> DataFrame:
+    iv = events_iv(spark, sf, "click", "view")
+    hour = F.floor(F.col("start") / F.lit(1e6) / 3600) * F.lit(3600.0)
+    return iv.withColumns({"start": F.when(F.col("start") % 2 == 0, hour).otherwise(F.col("start") / F.lit(1e6)), "end": F.col("end") / F.lit(1e6)})
+
+
+@query(f"""WITH {IV}, {_SECONDS} SELECT a.user_id, greatest(a.s, b.s) AS start_s, least(a.e, b.e) AS end_s
+FROM src a JOIN src b ON a.user_id = b.user_id AND a.source = 'click' AND b.source = 'view' AND greatest(a.s, b.s) < least(a.e, b.e)""")
+def iv_intersect_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    iv = seconds_iv(spark, sf)
+    out = intervals.intersect(iv.filter("source = 'click'"), iv.filter("source = 'view'"), KEY, 3600.0)
+    return out.select("user_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+@query(f"WITH {IV}, {_SECONDS}, {islands('m', 'user_id', 'src')} SELECT user_id, s AS start_s, e AS end_s FROM m")
+def iv_merge_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.merge(seconds_iv(spark, sf), KEY, 86400.0).select("user_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+@query(f"""WITH {IV}, {_SECONDS}, hits AS (SELECT user_id, CAST(floor(s / 3600) AS BIGINT) + i AS chunk, s, e FROM src, range(60) r(i))
+SELECT user_id, chunk, CAST(least(count(*), 2) AS INTEGER) AS label FROM hits WHERE s < (chunk + 1) * 3600e0 AND e > chunk * 3600e0 GROUP BY ALL""")
+def chunk_overlap_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    iv = seconds_iv(spark, sf)
+    met = chunks.overlaps(iv, KEY, 3600.0).select("user_id", "chunk").distinct()
+    return chunks.overlap_count(iv, met, KEY, 3600.0)
+
+
+@query(
+    _labels_sql(TWO, 2)
+    + f""",
+own AS (SELECT user_id, n, s, e FROM lab UNION ALL SELECT user_id, 9, s, e FROM lab WHERE n = 1),
+met AS (SELECT user_id, unnest(range(s // {CHUNK}, (e - 1) // {CHUNK} + 1)) AS chunk, n, s, e FROM own),
+cut AS (SELECT user_id, chunk, n, greatest(s, chunk * {CHUNK}) AS s, least(e, (chunk + 1) * {CHUNK}) AS e FROM met)
+SELECT user_id, chunk, ['non_speech', 'one_spk', 'two_spk'][min(n) + 1] AS label, s AS start_us, e AS end_us FROM cut WHERE s < e GROUP BY user_id, chunk, s, e"""
+)
+def closed_overlap_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every one_spk interval is there twice, the second time under another label: the first stays."""
+    own, _ = labelled(spark, sf, 2)
+    twice = own.unionByName(own.filter("label = 'one_spk'").withColumns({"label": F.lit("other"), "priority": F.lit(9)}))
+    return chunks.labels_in_chunks(twice, KEY, CHUNK).select("user_id", "chunk", "label", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
 @query(
     """WITH g AS (SELECT doc_id, unnest(range(CAST(ceil(n_chars / 1000.0) AS BIGINT))) AS i FROM documents WHERE n_chars > 0)
 SELECT doc_id, i AS chunk,
@@ -353,6 +416,72 @@ def argmax_label(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", arrays.argmax(F.col("embedding")).alias("predicted"))
 
 
+def _spans_of(names: tuple[str, ...], *pairs: tuple[float, float] | None) -> list[Column]:
+    return [(_ranges(p) if p else F.slice(_ranges((0.0, 0.0)), 1, 0)).alias(n) for n, p in zip(names, pairs, strict=True)]
+
+
+@query(
+    f"SELECT vec_id, round({_POWER.format(a=1, b=16)} / 16, 9) AS non_speech_signal, round({_POWER.format(a=17, b=32)} / 16, 9) AS one_spk_signal, round({_POWER.format(a=33, b=64)} / 32, 9) AS two_spk_signal, "
+    f"round(10 * log10({_POWER.format(a=17, b=32)} / {_POWER.format(a=1, b=16)}), 6) AS one_snr, round(10 * log10({_POWER.format(a=33, b=64)} / 2 / {_POWER.format(a=1, b=16)}), 6) AS two_snr, "
+    "1e0 AS non_speech_period, 1e0 AS one_spk_period, 2e0 AS two_spk_period FROM embeddings"
+)
+def recording_features(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", *_spans_of(labels.LABELS[2], (0.0, 1.0), (1.0, 2.0), (2.0, 4.0)))
+    out = labels.recording_features(e, F.col("embedding"), 16, curation.segments_of)
+    powers, periods = [f"{n}_signal" for n in labels.LABELS[2]], [f"{n}_period" for n in labels.LABELS[2]]
+    return out.select("vec_id", *[F.round(p, 9).alias(p) for p in powers], F.round("one_spk_SNR", 6).alias("one_snr"), F.round("two_spk_SNR", 6).alias("two_snr"), *periods)
+
+
+@query(
+    "WITH k AS (SELECT vec_id, embedding, unnest([0, 1, 1, 2]) AS label, unnest([1, 17, 41, 49]) AS a, unnest([16, 16, 8, 16]) AS n FROM embeddings WHERE vec_id % 10 > 3) "
+    "SELECT CAST(vec_id AS VARCHAR) AS audio_id, CAST(label AS INTEGER) AS label, CAST(n AS INTEGER) AS n, embedding[a] AS first_amp, embedding[a + n - 1] AS last_amp FROM k"
+)
+def segment_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The segment driver: training recordings, zero-length ranges gone, one row a segment."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("audio_id"), "vec_id", F.col("embedding").alias("amp"))
+    ranges = e.select("audio_id", _ranges((0.0, 1.0), (2.0, 2.0)).alias("non_speech"), _ranges((1.0, 2.0), (2.5, 3.0)).alias("one_spk"), _ranges((3.0, 4.0)).alias("overlaps"))
+    splits = e.select("audio_id", F.when(F.col("vec_id") % 10 > 3, "training").otherwise("evaluation").alias("split"))
+    rows = drivers.segment_signals(e, ranges, 2, 16, splits)
+    codes = {c: F.lit(i) for c, i in text.CLASS_CODE.items()}
+    each = F.explode(F.array(*[F.struct(k.alias("label"), F.col(f"{c}_signal").alias("segments")) for c, k in codes.items()])).alias("x")
+    out = rows.select("audio_id", each).select("audio_id", "x.label", F.explode("x.segments").alias("x"))
+    return out.select("audio_id", "label", F.size("x").alias("n"), F.get("x", 0).alias("first_amp"), F.element_at("x", -1).alias("last_amp"))
+
+
+_CHUNK_ROWS = (
+    "WITH g AS (SELECT vec_id, embedding, unnest(range(3)) AS i FROM embeddings WHERE {where}), "
+    "c AS (SELECT *, (CASE WHEN i = 0 THEN 1 WHEN i = 1 THEN {tie} ELSE 2 END) AS cls FROM g) "
+    "SELECT CAST(vec_id AS VARCHAR) AS audio_id, CAST(cls AS INTEGER) AS label, CAST(least(16, {cut}) AS INTEGER) AS n, embedding[i * 16 + 1] AS first_amp, "
+    "concat_ws('_', vec_id, round(i * 0.5::DOUBLE, {places}), round(i * 0.5::DOUBLE + 0.5::DOUBLE, {places})) AS chunk_filenames FROM c"
+)
+
+
+def _annotated(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    """Signals of 2 seconds at 32 samples; classes that tie in the second chunk; the last chunk has no grid or no signal."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("audio_id"), "vec_id", F.col("embedding").alias("amp"))
+    parts = [("one_spk", 2, 0.0, 0.45), ("non_speech", 1, 0.45, 0.75), ("two_spk", 3, 0.75, 2.0)]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.lit(p).alias("priority"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, p, a, b in parts])).alias("x")
+    recordings = e.select("audio_id", F.lit(2.0 if rule == "majority" else 1.9).alias("duration"))
+    splits = e.select("audio_id", F.when(F.col("vec_id") % 10 > 3, "evaluation").otherwise("training").alias("split"))
+    return drivers.annotate_chunks(e.select("audio_id", "amp"), e.select("audio_id", rows).select("audio_id", "x.*"), recordings, 0.5, 32, rule, splits if rule == "majority" else None)
+
+
+def _curated(rows: DataFrame) -> DataFrame:
+    return rows.select("audio_id", "label", F.size("input_values").alias("n"), F.get("input_values", 0).alias("first_amp"), "chunk_filenames")
+
+
+@query(_CHUNK_ROWS.format(where="vec_id % 10 > 3", tie=0, cut=16, places=3))
+def chunk_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk driver and the curation of its rows: evaluation recordings, first of the tied classes."""
+    return _curated(drivers.curate(_annotated(spark, sf, "majority"), "evaluation"))
+
+
+@query(_CHUNK_ROWS.format(where="vec_id % 2 = 0", tie=2, cut=10, places=1))
+def chunk_annotation_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the sparse rule, of one partition of the input, encoded to 10 samples."""
+    return _curated(drivers.curate(_annotated(spark, sf, "sparse"), "sparse_test", True, 10, 1.0, part=F.col("audio_id").cast("long") % 2 == 0))
+
+
 # --------------------------------------------------------------- relational
 
 
@@ -396,6 +525,52 @@ def anti_unaligned(spark: SparkSession, sf: str) -> DataFrame:
     return relational.without_each(table(spark, sf, "lineitem"), unaligned, "doc_id", ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
 
 
+@query(
+    "WITH bad AS (SELECT doc_id FROM labels WHERE toxic = 1) "
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (FROM bad) AND l_suppkey NOT IN (FROM bad) AND l_linenumber NOT IN (FROM bad)"
+)
+def anti_three(spark: SparkSession, sf: str) -> DataFrame:
+    unaligned = table(spark, sf, "labels").filter("toxic = 1")
+    return relational.without_each(table(spark, sf, "lineitem"), unaligned, "doc_id", ["l_partkey", "l_suppkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.value_counts(table(spark, sf, "events"), "event_type")
+
+
+@query(
+    "SELECT concat(o_orderkey, '-1-1_', o_custkey, '-2-2') AS audio_id, o_totalprice::DOUBLE / 16000 AS duration, concat(o_orderkey, '-1-1') AS source_1, concat(o_custkey, '-2-2') AS source_2 FROM orders "
+    "WHERE o_orderkey NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND o_custkey NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"
+)
+def enrich_mixtures(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixture ids taken apart, without those that name an unaligned utterance."""
+    o, bad = table(spark, sf, "orders"), table(spark, sf, "labels")
+    name = lambda c, tail: F.concat(F.col(c).cast("string"), F.lit(tail))
+    mixtures = o.select(F.concat_ws("_", name("o_orderkey", "-1-1"), name("o_custkey", "-2-2")).alias("mixture_ID"), F.col("o_totalprice").cast("double").alias("length"))
+    unaligned = bad.filter("toxic = 1").select(name("doc_id", "-1-1").alias("timing")).unionByName(bad.filter("quality = 0").select(name("doc_id", "-2-2").alias("timing")))
+    return labels.enrich(mixtures, unaligned, 2)
+
+
+_SPARSE_MIX = """WITH m AS (SELECT o_orderkey AS k, o_orderkey % 5 AS a, o_orderkey % 3 AS b FROM orders),
+r AS (SELECT concat('sparse/', k) AS audio_id, unnest([{'l': 'non_speech', 's': 0e0, 'e': 1e0}, {'l': 'one_spk', 's': 1e0, 'e': 4e0 + b}, {'l': 'two_spk', 's': 4e0 + b, 'e': 7e0 + a}, {'l': 'one_spk', 's': 7e0 + a, 'e': 12e0},
+ {'l': 'non_speech', 's': 12e0, 'e': 20.125e0}, {'l': 'speech_times', 's': 1e0, 'e': 12e0}]) AS x FROM m)
+SELECT audio_id, x.l AS label, x.s AS start_s, x.e AS end_s FROM r WHERE x.s < x.e"""
+
+
+@query(_SPARSE_MIX)
+def sparse_mixtures(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of nested mixture records whose noise is the span; one source reaches past its end."""
+    k = F.col("o_orderkey")
+    span = lambda a, b: F.struct(F.lit(a).cast("double").alias("start") if not isinstance(a, Column) else a.cast("double").alias("start"), b.cast("double").alias("stop"), F.lit("x").alias("source"))
+    rows = table(spark, sf, "orders").select(
+        k.alias("mixture_name"), F.array(span(1, 7 + k % 5), span(3, F.lit(4))).alias("s1"), F.array(span(4 + k % 3, F.lit(12))).alias("s2"), F.array(span(0, F.lit(20.12504))).alias("noise"),
+    )
+    flat = annotations.records(rows, "mixture_name", ["s1", "s2", "noise"])
+    out = labels.sparse_mixture_labels(flat, 2, F.lit("sparse/"))
+    return out.select("audio_id", "label", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
 @query(
     "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND n_chars > 0 "
     "AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 20000)"
@@ -618,11 +793,16 @@ def weighted_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 def linear_scorer(signals: list[np.ndarray]) -> np.ndarray:
     """A fixed scorer that stands in for a model: mean, spread and slope of a signal."""
-    x = np.stack([np.r_[np.mean(s), np.std(s), s[-1] - s[0]] for s in signals])
+    x = np.stack([np.r_[np.mean(s), np.std(s), s[-1] - s[0]] for s in (np.asarray(s, np.float64) for s in signals)])
     return x @ np.array([[1.0, -1.0, 0.2], [-0.5, 1.0, 0.1], [0.3, 0.0, 1.0]]).T
 
 
-@query()
+@query(
+    "WITH e AS (SELECT vec_id, CAST(label % 3 AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(embedding) > 10), "
+    "f AS (SELECT vec_id, label, list_avg(x) AS m, list_aggregate(x, 'stddev_pop') AS d, x[len(x)] - x[1] AS c FROM e), "
+    "z AS (SELECT vec_id, label, [m - d + 0.2 * c, d - 0.5 * m + 0.1 * c, 0.3 * m + c] AS z FROM f) "
+    "SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS predicted_label FROM z"
+)
 def batched_scoring(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("label"), F.col("embedding").alias("input_values"))
     return curation.predict(e, linear_scorer, ["vec_id"], least=10)

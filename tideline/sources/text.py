@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,16 @@ def rttm_files(spark: SparkSession, path: str, speaker: bool = False) -> DataFra
 
 
 def records(df: DataFrame, meta: str, columns: list[str]) -> DataFrame:
-    """meta, source and the fields of each struct in each named array column; fields that a column lacks are null."""
-    frames = [df.select(meta, F.lit(c).alias("source"), F.explode(c).alias("_r")).select(meta, "source", "_r.*") for c in columns]
+    """meta, source and the fields of each struct in each named array column; fields that a column lacks are null.
+
+    `source` is the column's name; a field of that name in the structs gives way to it.
+    """
+
+    def rows(c: str) -> DataFrame:
+        fields = [n for n in df.schema[c].dataType.elementType.names if n.lower() != "source"]
+        return df.select(meta, F.lit(c).alias("source"), F.explode(c).alias("_r")).select(meta, "source", *[F.col(f"_r.`{n}`") for n in fields])
+
+    frames = [rows(c) for c in columns]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
@@ -71,6 +80,33 @@ def mixture_json(spark: SparkSession, path: str, sources: list[str]) -> DataFram
     return records(spark.read.option("multiLine", True).json(path), "mixture_name", sources)
 
 
+def parts_of(spark: SparkSession, path: str, contains: str | None = None, prefix: str | None = None, suffix: str | None = None, part: int | None = None) -> DataFrame:
+    """The Parquet files below path whose name has all that is given; part n stands as `_part{n}_` in it.
+
+    Names are matched before any file is opened, by the reader's own glob.
+    """
+    for piece in (contains, prefix, suffix):
+        if piece and set(piece) & set("*?[]{}\\"):
+            raise ValueError(f"{piece!r} must be plain text")
+    inner = [x for x in (f"*_part{part}_*" if part is not None else None, f"*{contains}*" if contains else None) if x]
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix or ''}{inner[0] if inner else '*'}{suffix or ''}").parquet(path)
+    return rows.filter(F.col("_metadata.file_name").contains(contains)) if contains else rows
+
+
+def csv_if_sound(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The CSV files at path; none at all, empty files and lines that don't fit the schema give no rows and no error."""
+    kept = f"{schema}, _broken string"
+    try:
+        rows = spark.read.schema(kept).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    # Every field must be read for a line to be found broken, also where only rows are counted.
+    whole = F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in rows.columns if c != "_broken"])) >= 0
+    return rows.filter(F.col("_broken").isNull() & whole).drop("_broken")
+
+
 def info_csv(spark: SparkSession, path: str) -> DataFrame:
     """All *_info.csv files below path as text columns; resource forks (._*) are passed over."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_info.csv").csv(path, header=True)
