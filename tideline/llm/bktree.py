@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components
-from tideline.llm.shared import fresh, settle, text_or_empty
+from tideline.llm.shared import Steps, fresh, look_up, text_or_empty
 from tideline.llm.simhash import block_tables, explode_terms, hex16, lower_ascii, vote
 
 
@@ -166,32 +166,36 @@ def shingle_fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     return vote(explode_terms(rows, "_text", 3), keys)
 
 
-def marked_roots(docs: DataFrame, radius: int) -> DataFrame:
-    """doc_id, text_hash and _root (the least fingerprint of the group) of each document."""
-    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    marks = settle(shingle_fingerprints(keyed, ["doc_id", "text_hash"]))
-    groups = settle(marks.select("fingerprint").distinct())
-    roots = connected_components(fingerprint_links(groups, radius), "u", "v").select(F.col("node").alias("fingerprint"), F.col("root").alias("_root"))
-    of = groups.join(roots, "fingerprint", "left").withColumn("_root", F.coalesce("_root", "fingerprint"))
-    return marks.join(of, "fingerprint").select("doc_id", "text_hash", "_root")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, text_hash, fingerprint (bigint) and component_id of each document.
+    """doc_id, text_hash, fingerprint (bigint) and component_id of each row of docs.
+
+    Votes are counted once for each distinct text of an input partition, so a
+    text that fills a third of the table costs no more than its partitions, and
+    its votes can't overflow. Fingerprints and components come back to the rows by
+    `look_up`, so no text or fingerprint fills a task.
 
     Defined cases: a null text is an empty one; texts without words all have
-    fingerprint zero and so form one group; rows that repeat a doc_id and text
-    are one row here, rows that repeat a doc_id with other texts are several.
-    An empty table gives an empty result.
+    fingerprint zero and so form one group; every row has a row here, also those
+    that repeat others in full or that have no doc_id. An empty table gives an
+    empty result. Texts are told apart by 64-bit hashes; where a component has no
+    doc_id at all, its component_id is null.
     """
-    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
-    marks = settle(shingle_fingerprints(keyed, ["doc_id", "text_hash"]))
-    groups = settle(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    steps = Steps(docs.sparkSession)
+    keyed = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"), F.spark_partition_id().alias("_part"))
+    rows = steps.settle(keyed.drop("text", "_part"))
+    votes = shingle_fingerprints(keyed, ["text_hash", "_part"])
+    texts = steps.settle(votes.groupBy("text_hash").agg(F.min("fingerprint").alias("fingerprint")))
+    owners = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("times"))
+    texts = steps.settle(texts.join(owners.hint("merge"), "text_hash"))
+    groups = steps.settle(texts.groupBy("fingerprint").agg(F.min("least").alias("least"), F.count("*").alias("texts")))
     roots = connected_components(fingerprint_links(groups, radius), "u", "v")
-    joined = groups.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(lowest, "root").select("fingerprint", "component_id")
-    return marks.join(of, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+    joined = groups.join(roots.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
+    of = steps.settle(look_up(joined.select("fingerprint", "texts", "root"), steps.settle(lowest), ["root"], "times", ["fingerprint"]).drop("root"))
+    texts = steps.settle(look_up(texts, of, ["fingerprint"], "texts", ["text_hash"]).select("text_hash", "fingerprint", "component_id", "times"))
+    out = look_up(rows, texts, ["text_hash"], "times", ["doc_id"])
+    steps.done(rows, texts)
+    return out.select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def report(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -203,17 +207,24 @@ def first_of_groups(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row of docs for each group: that with the smallest doc_id, rows without one last, then that with the least text hash.
 
     `marked` holds doc_id, text_hash and _root, which names a row's group and no other. Rows that repeat
-    the kept one in full are told apart within the group.
+    the kept one in full are told apart within the group. Texts are shuffled once.
     """
-    kept_id, kept_hash, root, copy = fresh(docs, "_kept_id", "_kept_hash", "_root", "_copy")
+    number, none, text_hash, copy = fresh(docs, "_number", "_none", "_hash", "_copy")
     kept = marked.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.text_hash").alias(kept_hash), F.col("_root").alias(root))
-    text_hash = F.xxhash64(text_or_empty())
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_hash)))
-    again = Window.partitionBy(root).orderBy(text_hash)
+    id_of = lambda c: [F.coalesce(c, F.lit(0).cast("long")), c.isNull()]
+    kept = kept.select(*[x.alias(n) for x, n in zip(id_of(F.col("k.doc_id")), (number, none), strict=True)], F.col("k.text_hash").alias(text_hash))
+    keys = [number, none, text_hash]
+    rows = docs.withColumns(dict(zip(keys, [*id_of(F.col("doc_id").cast("long")), F.xxhash64(text_or_empty())], strict=True))).join(kept.hint("merge"), keys)
+    again = Window.partitionBy(*keys).orderBy(F.lit(0))
     return rows.withColumn(copy, F.row_number().over(again)).filter(F.col(copy) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One document of each group of fingerprints that links of at most `radius` bits connect."""
-    return first_of_groups(docs, marked_roots(docs, radius))
+    """One document of each group of three-word fingerprints that links of at most `radius` bits connect."""
+    steps = Steps(docs.sparkSession)
+    marked = near_duplicates(docs, radius)
+    prints = steps.settle(marked.select("doc_id", "text_hash", "fingerprint"))
+    groups = prints.select("fingerprint").distinct()
+    roots = connected_components(fingerprint_links(groups, radius), "u", "v").select(F.col("node").alias("fingerprint"), F.col("root").alias("_root"))
+    of = prints.join(roots.hint("merge"), "fingerprint", "left").select("doc_id", "text_hash", F.coalesce("_root", "fingerprint").alias("_root"))
+    return first_of_groups(docs, of)

@@ -2,7 +2,9 @@
 
 Every round is two aggregates and two joins over the edges; nothing but a number
 that tells whether all components are stars comes to the driver. Each round's
-edges are written to the shared folder, which ends the lineage.
+edges are written to the shared folder, which ends the lineage, and the round
+before is deleted. A node that a large part of the edges meet in is looked up in
+as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -10,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import settle
+from tideline.llm.shared import Steps, look_up
 
 
-def _towards_min(edges: DataFrame, both_ways: bool) -> DataFrame:
+def _towards_min(edges: DataFrame, both_ways: bool, steps: Steps) -> DataFrame:
     """Large star (both_ways): hang a node's larger neighbours on its least one. Small star: the smaller ones."""
     if both_ways:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    linked = edges.join(least, "u")
+    least = steps.settle(edges.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n")))
+    linked = look_up(edges, least, ["u"], "n", ["v"])
     if both_ways:
         return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
@@ -35,12 +37,14 @@ def _all_stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataFrame:
     """`node` and `root` for every node that has an edge; the root is the component's least node."""
     a, b = F.col(u), F.col(v)
-    edges = settle(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    steps = Steps(edges.sparkSession)
+    edges = steps.settle(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(most_rounds):
         if _all_stars(edges):
             break
-        large = _towards_min(edges, True).filter("u <> v").distinct()
-        edges = settle(_towards_min(large, False).filter("u <> v").distinct())
+        large = steps.settle(_towards_min(edges, True, steps).filter("u <> v").distinct())
+        edges = steps.settle(_towards_min(large, False, steps).filter("u <> v").distinct())
+        steps.done(edges)
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

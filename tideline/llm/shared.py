@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.steps import Steps, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local session (tests) may go without that setting; it then gets a
-    temporary folder. On a cluster a missing setting is an error.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith(("local[", "local-test")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-tideline-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Steps", "fresh", "look_up", "only", "settle", "shared_dir", "small_batches", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -52,11 +31,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner", share: int = 512) -> DataFrame:
+    """rows joined with a settled table of one row a key, where one key may hold any part of the rows.
+
+    The table's column `n` tells about how many rows have its key, and goes. A key
+    of more than 1/share of their sum comes several times, and the rows go to its
+    copies by a hash of their `spread` columns, so that no key fills a task. What
+    is broadcast is a number for each of those keys, fewer than `share` of them.
+    """
+    copies, salt = fresh(rows, "_copies", "_salt")
+    total = table.agg(F.sum(n)).first()[0] or 0
+    part = max(1, -(-total // share))
+    times = F.ceil(F.col(n) / part)
+    hot = table.filter(F.col(n) > part).select(*keys, times.alias(copies))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(copies).isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col(copies)))).drop(copies)
+    right = table.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(times, F.lit(1)) - 1))).drop(n)
+    # The hint keeps Spark from broadcasting a side whose size it takes from before the explode.
+    return left.join(right.hint("merge"), [*keys, salt], how).drop(salt)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold `rows` rows at most from now on in this session.
 
     At Spark's own 10,000, one batch of long texts takes gigabytes in the JVM and
-    again in the worker. A smaller setting of the session stays.
+    again in the worker. The setting is read when a result is computed, long after
+    the operator has returned, so it can't be put back. A smaller setting stays.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
