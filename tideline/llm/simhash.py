@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import only, settle, text_or_empty
+from tideline.llm.shared import look_up, only, settle, text_or_empty
 
 SPACES = " \t\n\x0b\x0c\r"
 TWO_LANES = 0x0000000100000001
@@ -37,17 +37,17 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def explode_terms(df: DataFrame, text: str, width: int = 3) -> DataFrame:
+def explode_terms(df: DataFrame, text: str, width: int = 3, split: bool = True) -> DataFrame:
     """One row per shingle of `width` words, repeats included, as column `term`.
 
-    A row without words stays as one row with a null term.
+    A row without words stays as one row with a null term. split=False: the column holds the words.
     """
     whole = F.struct(F.concat_ws(" ", "_words").alias("w0"), *[F.lit(None).cast("string").alias(f"w{i}") for i in range(1, width)])
     full = F.size("_words") - (width - 1)
     zipped = F.arrays_zip(*[F.slice("_words", i + 1, F.greatest(full, F.lit(0))).alias(f"w{i}") for i in range(width)])
     shingles = F.when(full > 0, zipped).when(F.size("_words") > 0, F.array(whole))
     rest = [c for c in df.columns if c != text]
-    rows = df.withColumn("_words", word_array(F.col(text))).select(*rest, shingles.alias("_shingles"))
+    rows = df.withColumn("_words", word_array(F.col(text)) if split else F.col(text)).select(*rest, shingles.alias("_shingles"))
     rows = rows.select(*rest, F.explode_outer("_shingles").alias("_s"))
     joined = F.concat_ws(" ", *[F.col(f"_s.w{i}") for i in range(width)])
     return rows.select(*rest, F.when(F.col("_s").isNotNull(), joined).alias("term"))
@@ -134,31 +134,45 @@ def count_within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, c
     return hits.groupBy(F.col("q").alias("fingerprint")).agg(F.sum("n").alias("n_near"))
 
 
-def with_next(docs: DataFrame, block_rows: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, block_rows: int = 512, most_cuts: int = 16384) -> DataFrame:
     """Each text with that of the next document by descending doc_id; the first follows the last.
 
-    Rows go to blocks of about `block_rows` rows by quantiles of doc_id, so no
-    window spans the table; only a block's head is looked up across blocks.
+    Rows go to blocks of about `block_rows` rows by quantiles of doc_id (`most_cuts`
+    at most; beyond that many blocks, the range between two quantiles is cut evenly),
+    so no window spans the table; only a block's head is looked up across blocks.
+    Rows without doc_id come last and are dealt to blocks by the hash of their text.
     Columns: _block and _rn (the row's place), doc_id, text, next_text, next_block, next_rn.
     Rows with one doc_id follow each other by the hash of their text.
     """
     docs = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
-    n = docs.count()
-    side = max(2, math.ceil(math.sqrt(min(16384, max(1, n // block_rows)))))
+    known = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    wanted = max(1, known["n"] // block_rows)
+    side = max(2, math.ceil(math.sqrt(min(most_cuts, wanted))))
+    parts = max(1, -(-wanted // side**2))
+    low, high = known["low"] or 0, known["high"] or 0
     shares = [i / side**2 for i in range(1, side**2)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * side**2)).alias("c")).first()["c"] or []
-    cuts = [*cuts, *[cuts[-1] if cuts else 0] * (side**2 - len(cuts))]
+    cuts = [*cuts, *[high] * (side**2 - len(cuts))]
     rows = [cuts[i * side : (i + 1) * side] for i in range(side)]
     outer = F.array(*[F.lit(r[-1]) for r in rows[:-1]])
     inner = F.array(*[F.array(*[F.lit(x) for x in r[:-1]]) for r in rows])
-    below = lambda cut, of: F.size(F.filter(cut, lambda x: x < of))
-    placed = docs.withColumn("_i", below(outer, F.coalesce("doc_id", F.lit(-(2**63)))))
-    placed = placed.withColumn("_block", F.col("_i") * side + below(F.get(inner, F.col("_i")), F.coalesce("doc_id", F.lit(-(2**63))))).drop("_i")
+    below = lambda cut: F.size(F.filter(cut, lambda x: x < F.col("doc_id")))
+    placed = docs.withColumn("_i", below(outer))
+    block = F.col("_i") * side + below(F.get(inner, F.col("_i")))
+    if parts > 1:
+        ends = F.array(*[F.array(*[F.lit(float(x)) for x in [rows[i - 1][-1] if i else low, *r]]) for i, r in enumerate(rows)])
+        placed = placed.withColumn("_e", F.get(ends, F.col("_i"))).withColumn("_j", below(F.get(inner, F.col("_i"))))
+        begin, end = F.get("_e", F.col("_j")), F.get("_e", F.col("_j") + 1)
+        even = F.floor(F.coalesce(F.try_divide(F.col("doc_id").cast("double") - begin, end - begin), F.lit(0.0)) * parts)
+        block = (F.col("_i") * side + F.col("_j")) * parts + F.greatest(F.least(even, F.lit(parts - 1)), F.lit(0))
+    bits = max(0, min(20, (wanted - 1).bit_length()))
+    hashed = -1 - F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(-1).cast("long")
+    placed = placed.withColumn("_block", F.when(F.col("doc_id").isNull(), hashed).otherwise(block)).select("_block", "doc_id", "text")
     order = Window.partitionBy("_block").orderBy(F.col("doc_id").desc(), F.xxhash64("text"))
     run = placed.select("_block", "doc_id", "text", F.row_number().over(order).alias("_rn"), F.lead("text").over(order).alias("_lead"))
     heads = run.filter("_rn = 1").select(F.col("_block").alias("_hb"), F.col("text").alias("_head"))
     blocks = placed.select("_block").distinct()
-    ring = Window.orderBy(F.col("_block").desc())  # one row a block: 16384 rows at most
+    ring = Window.orderBy(F.col("_block").desc())  # one row a block
     after = blocks.select(F.col("_block").alias("_at"), F.coalesce(F.lead("_block").over(ring), F.max("_block").over(Window.partitionBy())).alias("_nb"))
     heads = after.join(heads, F.col("_nb") == F.col("_hb")).drop("_hb")
     joined = run.join(heads, (F.col("_block") == F.col("_at")) & F.col("_lead").isNull(), "left")
@@ -197,7 +211,9 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     marks = settle(slim.join(pair, place))
     after = marks.select(F.col("_block").alias("next_block"), F.col("_rn").alias("next_rn"), F.col("fingerprint").alias("next_fingerprint"))
     near = count_within(marks.filter("doc_id % 20 = 0"), marks, radius)
-    out = marks.join(after, ["next_block", "next_rn"]).join(near, "fingerprint", "left")
+    times = marks.groupBy("fingerprint").agg(F.count("*").alias("times"))
+    near = settle(near.join(times.hint("merge"), "fingerprint"))
+    out = look_up(marks.join(after, ["next_block", "next_rn"]), near, ["fingerprint"], "times", ["_block", "_rn"], "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex16(F.col("fingerprint")).alias("fingerprint"), hex16(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
