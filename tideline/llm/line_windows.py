@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import fresh, text_or_empty
+from tideline.functions import arrays
+from tideline.llm.shared import fresh, look_up, settle, text_or_empty
 
 SIZE = 3
 
@@ -40,8 +41,8 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th and `covered`, the positions of the lines that go, for texts that lose some."""
     windows = window_hashes(docs)
     place = F.struct("doc_id", "th", "i")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).filter(place != F.col("first"))
+    first = settle(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = look_up(windows, first, ["h1", "h2"], "n", ["doc_id", "th", "i"]).filter(place != F.col("first"))
     starts = later.groupBy("doc_id", "th").agg(F.collect_set("i").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (SIZE - 1)))))
     return starts.select("doc_id", "th", covered.alias("covered"))
@@ -53,9 +54,11 @@ def drop_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataFram
     cut = covered_lines(docs).select(F.col("doc_id").alias(key_id), F.col("th").alias(key_hash), F.col("covered").alias(covered))
     same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.xxhash64(text_or_empty()) == F.col(key_hash))
     rows = docs.join(cut, same, "left")
-    ls = lines_of(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(covered))
-    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
+
+    def kept(ls: Column) -> Column:  # the lines come as one value, split once for a text
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(covered)), lambda i: F.get(ls, i)), "\n")
+
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(arrays.bind(lines_of(F.col("text")), kept))
     number = [F.coalesce(F.size(covered), F.lit(0)).alias(removed)] if removed else []
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *number)
 
