@@ -1,95 +1,80 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's rows are dealt in a fixed pseudo-random order into blocks of
-`block_rows` rows. Target weights are rounded to whole numbers of slots in a
-frame of `frame` slots. Block j (from 0) of a source that has a of the frame's
-f slots is released at slot floor(j f / a) and due before slot ceil((j + 1) f / a);
-each slot goes to the released block that is due first. On one slot at a time
-that keeps every source, at every slot, less than one block from its target
-share, and after a whole frame exactly on it. So one frame is all that needs to
-be scheduled one slot after the other; every later frame repeats it, and where
-any block goes follows from its number.
-
-Sources end at different times. When one ends, a phase ends: the others share
-the frame by their weights anew, so that no row is dropped or repeated. Phases
-follow from the numbers of blocks alone; the driver sees only those and the
-frames, a few numbers for each source.
+`block_rows` rows. Of a source with weight w (the weights add up to 1), block j
+is released at slot floor(j / w) and due before slot ceil((j + 1) / w); each slot
+goes to the released block that is due first. On one slot at a time that meets
+every deadline, so at every slot each source is less than one block from its
+target share. Weights count exactly: they are taken as fractions, and releases
+and deadlines are whole numbers worked out from those, not from rounded shares.
+
+When a source ends, a phase ends: the others share the slots by their weights
+anew, so that no row is dropped or repeated. Within a phase the bound holds for
+the weights of the sources left.
+
+The schedule follows from the numbers of blocks alone. It is the one step that
+runs in one place, in pieces that are written to the shared folder; the rows meet
+it by (source, block). It has `slots` slots at most (and one more a source): a
+table of more than block_rows * slots rows gets larger blocks. Up to SOURCES
+sources can be mixed; more are an error.
 
 Defined cases: a null source is a source of its own; sources without a weight
 get the least weight given; weights must be positive; an empty table gives an
 empty result. Rows are ordered within a source by a hash of all their columns
-but the text, so rows that repeat in full are interchangeable.
+(but maps), so rows that repeat in full are interchangeable.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import fresh
+from tideline.llm.shared import fresh, shared_dir
 
 NULL = "\0null"
-
-
-def whole_shares(weights: dict[str, float], frame: int) -> dict[str, int]:
-    """Slots of each source in a frame: at least 1, largest remainders, frame in all (more, if there are more sources)."""
-    frame = max(frame, len(weights))
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * frame for s, w in weights.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (shares[s] - exact[s], s))
-    while (short := frame - sum(shares.values())) != 0:
-        for s in order if short > 0 else reversed(order):
-            if short and (short > 0 or shares[s] > 1):
-                step = 1 if short > 0 else -1
-                shares[s] += step
-                short -= step
-    return shares
-
-
-def frame_schedule(shares: dict[str, int]) -> list[str]:
-    """One frame: the source of each slot, by earliest deadline among the released blocks."""
-    f = sum(shares.values())
-    waiting = sorted((0, s, 0) for s in shares)  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(f):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * f // shares[s]), -shares[s], s, j))
-        _, _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * f // shares[s], s, j + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], frame: int) -> list[dict]:
-    """Runs of slots in which the same sources are left.
-
-    Each has its frame, the slot and each source's block at which it starts, and
-    the number of each source's blocks in it.
-    """
-    left, done, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n}:
-        slots = frame_schedule(whole_shares({s: weights[s] for s in left}, frame))
-        f, place = len(slots), {s: [i for i, x in enumerate(slots) if x == s] for s in left}
-
-        def slot_of(s: str, j: int, f=f, place=place) -> int:
-            return j // len(place[s]) * f + place[s][j % len(place[s])]
-
-        end = min(slot_of(s, n - 1) for s, n in left.items()) + 1
-        used = {s: end // f * len(p) + sum(i < end % f for i in p) for s, p in place.items()}
-        out.append({"at": at, "frame": f, "place": place, "from": {s: done[s] for s in left}, "used": used})
-        at += end
-        for s, n in used.items():
+SOURCES = 65_536
+PIECE = 1 << 18
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*[x.denominator for x in exact.values()])
+    return {s: x.numerator * (common // x.denominator) for s, x in exact.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int]]:
+    """source, block and slot of every block, slot by slot: the released block that is due first."""
+    left = {s: n for s, n in blocks.items() if n}
+    done, at = dict.fromkeys(left, 0), 0
+    while left:
+        whole = whole_weights({s: weights[s] for s in left})
+        total = sum(whole.values())
+        waiting = [(0, s, 0) for s in sorted(left)]  # release, source, block of the phase
+        ready: list[tuple[int, str, int]] = []  # deadline, source, block
+        dealt, slot, open_ = dict.fromkeys(left, 0), 0, True
+        while open_:
+            while waiting and waiting[0][0] <= slot:
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // whole[s]), s, j))
+            _, s, j = heapq.heappop(ready)
+            yield s, done[s] + j, at + slot
+            slot += 1
+            dealt[s] = j + 1
+            if open_ := j + 1 < left[s]:
+                heapq.heappush(waiting, ((j + 1) * total // whole[s], s, j + 1))
+        at += slot
+        for s, n in dealt.items():
             done[s] += n
             left[s] -= n
-    return out
+        left = {s: n for s, n in left.items() if n}
 
 
 def default_weights(counts: dict[str, int]) -> dict[str, float]:
@@ -97,37 +82,41 @@ def default_weights(counts: dict[str, int]) -> dict[str, float]:
     return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, frame: int = 1000, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, slots: int = 1 << 24, bucket_rows: int = 4096) -> DataFrame:
     """docs, every row once, with `slot`, `block` (of its source), `place` in the block and `target_weight`.
 
     Ordered by (slot, place) the rows are the mix. Ranks within a source come
     from counts by hash bucket, so a source of any size is ranked in many tasks.
     """
     spark = docs.sparkSession
-    slot, block, place, weight, src, order, bucket, rank, before, phase = fresh(docs, "slot", "block", "place", "target_weight", "_source", "_order", "_bucket", "_rank", "_before", "_phase")
-    described = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and not kind.startswith("map")]
-    rows = docs.withColumns({src: F.coalesce(F.col("source"), F.lit(NULL)), order: F.xxhash64(*described)}).withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)))
-    sizes = rows.groupBy(src, bucket).agg(F.count("*").alias(rank))
-    counts = {r[0]: r[1] for r in sizes.groupBy(src).agg(F.sum(rank)).collect()}
+    slot, block, place, weight, src, order, bucket, rank, before = fresh(docs, "slot", "block", "place", "target_weight", "_source", "_order", "_bucket", "_rank", "_before")
+    described = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
+    rows = docs.withColumns({src: F.coalesce(F.col("source"), F.lit(NULL)), order: F.xxhash64(*described)})
+    found = rows.groupBy(src).agg(F.count("*").alias(rank)).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    counts = {r[0]: r[1] for r in found}
     given = dict(weights or default_weights(counts))
     floor = min(given.values(), default=1.0)
     given = {s: given.get(None if s == NULL else s, given.get(s, floor)) for s in counts}
     if any(w <= 0 for w in given.values()):
         raise ValueError("target weights must be positive")
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, given, frame)
+    rows_in_all = sum(counts.values())
+    block_rows = max(block_rows, -(-rows_in_all // slots))
+    plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, given)
+    path, total, columns = shared_dir(spark), sum(given.values()), [src, block, slot]
+    kind = f"`{src}` string, `{block}` long, `{slot}` long, `{weight}` double"
+    spark.createDataFrame([], kind).write.parquet(path)
+    while piece := list(islice(plan, PIECE)):
+        held = [*map(list, zip(*piece, strict=True)), [given[p[0]] / total for p in piece]]
+        spark.createDataFrame(pa.table(held, names=[*columns, weight]), kind).write.mode("append").parquet(path)
+    placed = spark.read.schema(kind).parquet(path)
+    buckets = max(1, -(-rows_in_all // bucket_rows))
+    rows = rows.withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)))
+    sizes = rows.groupBy(src, bucket).agg(F.count("*").alias(rank))
     earlier = F.sum(rank).over(Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(src, bucket, F.coalesce(earlier, F.lit(0)).alias(before))
     within = F.row_number().over(Window.partitionBy(src, bucket).orderBy(order))
     ranked = rows.withColumn(rank, within - 1).join(sizes, [src, bucket]).withColumn(rank, F.col(rank) + F.col(before))
-    total = sum(given.values())
-    table = [(s, p["from"][s], p["from"][s] + p["used"][s], p["at"], p["frame"], p["place"][s], given[s] / total) for p in plan for s in p["from"] if p["used"][s]]
-    phase_rows = spark.createDataFrame(table, f"`{src}` string, _from long, _to long, _at long, _frame long, _places array<long>, _share double")
-    phase_rows = phase_rows.select(F.col(src), F.struct("_from", "_to", "_at", "_frame", "_places", "_share").alias(phase))
-    number = F.floor(F.col(rank) / block_rows)
-    placed = ranked.withColumn(block, number).join(
-        F.broadcast(phase_rows.withColumnRenamed(src, src + "p")),  # at most frame * sources numbers a phase, a phase a source
-        (F.col(src) == F.col(src + "p")) & (F.col(block) >= F.col(f"{phase}._from")) & (F.col(block) < F.col(f"{phase}._to")),
-    )
-    j, places = F.col(block) - F.col(f"{phase}._from"), F.col(f"{phase}._places")
-    when = F.col(f"{phase}._at") + F.floor(j / F.size(places)) * F.col(f"{phase}._frame") + F.get(places, F.pmod(j, F.size(places)).cast("int"))
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], when.alias(slot), F.col(block), F.pmod(F.col(rank), F.lit(block_rows)).alias(place), F.col(f"{phase}._share").alias(weight))
+    ranked = ranked.withColumn(block, F.floor(F.col(rank) / block_rows)).join(placed, [src, block])
+    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], slot, block, F.pmod(F.col(rank), F.lit(block_rows)).alias(place), weight)
