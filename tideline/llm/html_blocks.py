@@ -9,8 +9,8 @@ depends on all blocks before and after it. The blocks labelled as main text,
 joined by line feeds, are the page's text.
 
 It is trained on at most `sample` pages of the table, chosen by a hash of their
-page_id and labelled by the names on their tag paths, and on as many pages put
-together from their texts in other layouts (side columns, notices, adverts,
+page_id and labelled by the names on their tag paths, and on three times as many
+(300 at least) put together from their texts in other layouts (side columns, notices, adverts,
 forms, comments, articles without an article element), whose labels are known.
 Pages are labelled whole; nothing of a page is dropped but what the labels say.
 
@@ -35,7 +35,10 @@ from tideline.llm.shared import only, small_batches
 from tideline.llm.textvec import mix, slices
 
 #: HTML elements by kind, and words in class, id and role that name a part of a page.
-RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title|button"
+CODE = frozenset(["script", "style"])
+RAW = frozenset("script style noscript template iframe textarea title".split())
+SKIPPED = frozenset("svg math object canvas select button".split())
+SELF_CLOSING = frozenset("svg math iframe object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -48,13 +51,12 @@ OTHER_WORDS = frozenset(
     "newsletter notice notices pagination popup promo promotion related reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|</?[a-zA-Z][^>]*\Z",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 PATH, WORDS, COUNTS, HIDDEN = 192, 32, 8, 24
+GROUP_BLOCKS = 20_000  # pages are labelled in groups of about so many blocks; a longer page is read in stretches of as many
 
 
 @dataclass
@@ -65,13 +67,20 @@ class Block:
 
 
 def blocks_of(page: str | None) -> list[Block]:
+    """The leaf blocks of a page in order.
+
+    What scripts, styles and the other raw elements hold is passed over up to their end tag; without one, a script or
+    style goes on to the end of the page, of the others only the tag goes. Drawings, formulas, buttons and the like have
+    no blocks either; they are elements like others, so what their parent's end leaves open ends there.
+    """
     out: list[Block] = []
     stack: list[str] = []  # block elements; "tag word word"
-    links = 0
+    links = skipped = 0
     parts: list[str] = []
     in_links = 0
     page = page or ""
     at = 0
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
 
     def flush() -> None:
         nonlocal in_links
@@ -79,23 +88,39 @@ def blocks_of(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = _SPACE.sub(" ", entities.unescape(raw)).strip()
             if text:
-                out.append(Block(tuple(stack), text, in_links / len(raw)))
+                inner = next((i for i, e in enumerate(stack) if e.partition(" ")[0] in SKIPPED), len(stack))
+                out.append(Block(tuple(stack[:inner]), text, in_links / len(raw)))
             parts.clear()
             in_links = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    def close(i: int) -> None:
+        nonlocal skipped
+        if not any(e.partition(" ")[0] in SKIPPED for e in stack[: i + 1]):
+            flush()
+        skipped -= sum(e.partition(" ")[0] in SKIPPED for e in stack[i:])
+        del stack[i:]
+
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not skipped:
             parts.append(page[at : m.start()])
             in_links += (m.start() - at) * (links > 0)
         at = m.end()
-        if not m[3]:
-            if m[1] and m[1].lower() not in ("svg", "math"):
-                flush() if m[1].lower() in ("title", "textarea", "select") else None
+        if not m[2]:
+            continue
+        tag, closing, alone = m[2].lower(), bool(m[1]), m[3].endswith("/")
+        if tag in RAW:
+            if closing or alone and tag not in CODE:
+                continue
+            if tag in ("title", "textarea"):
+                flush()
+            end = None if tag in unclosed else _END[tag].search(page, at)
+            if end is None:
+                unclosed.add(tag)
+            at = end.end() if end else len(page) if tag in CODE else at
             continue
-        tag, closing = m[3].lower(), bool(m[2])
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
-        if tag in INLINE:
+        if tag in INLINE or alone and tag in SELF_CLOSING:
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
@@ -103,27 +128,32 @@ def blocks_of(page: str | None) -> list[Block]:
             else:
                 flush()
             continue
-        flush()
-        links = 0
+        if tag not in SKIPPED and not skipped:
+            flush()
+            links = 0
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].partition(" ")[0] == tag:
-                    del stack[i:]
+                name = stack[i].partition(" ")[0]
+                if name == tag:
+                    close(i)
+                    break
+                if tag in SKIPPED and name in SCOPE:
                     break
             continue
         if closed := CLOSED_BY.get(tag):
             for i in range(len(stack) - 1, -1, -1):
                 name = stack[i].partition(" ")[0]
                 if name in closed:
-                    del stack[i:]
+                    close(i)
                     break
                 if name in SCOPE:
                     break
-        elif stack and stack[-1].partition(" ")[0] == "p":
-            stack.pop()
-        words = " ".join(w for n in _NAMED.finditer(m[4] or "") for w in re.split(r"[^a-z]+", (n[1] or n[2] or n[3] or "").lower()) if w)
+        elif tag not in SKIPPED and stack and stack[-1].partition(" ")[0] == "p":
+            close(len(stack) - 1)
+        words = " ".join(w for n in _NAMED.finditer(m[3] or "") for w in re.split(r"[^a-z]+", (n[1] or n[2] or n[3] or "").lower()) if w)
         stack.append(f"{tag} {words}" if words else tag)
-    if at < len(page):
+        skipped += tag in SKIPPED
+    if at < len(page) and not skipped:
         parts.append(page[at:])
     flush()
     return out
@@ -169,9 +199,11 @@ class Vectors:
             self.paths[path] = v
         return v
 
-    def of(self, pages: list[list[Block]]) -> np.ndarray:
-        """One row for each block of all pages in order."""
+    def of(self, pages: list[list[Block]], stretch: tuple[int, int] | None = None) -> np.ndarray:
+        """One row for each block of all pages in order; or for a stretch of the blocks of one page."""
         every = [b for page in pages for b in page]
+        if stretch:
+            every = every[stretch[0] : stretch[1]]
         out = np.zeros((len(every), PATH + WORDS + COUNTS), np.float32)
         if not every:
             return out
@@ -186,6 +218,8 @@ class Vectors:
         size = np.array([len(b.text) for b in every])
         place = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages])
         count = np.repeat([len(p) for p in pages], [len(p) for p in pages])
+        if stretch:
+            place, count = place[stretch[0] : stretch[1]], count[stretch[0] : stretch[1]]
         stops = np.array([b.text.count(".") + b.text.count(",") for b in every])
         ends = np.array([b.text[-1] in ".!?:;\"'" for b in every])
         out[:, PATH + WORDS :] = np.stack([np.log1p(size) / 8, [b.linked for b in every], np.log1p(words) / 6, stops / np.maximum(1, words), ends, place, np.log1p(count) / 6, np.ones(len(every))], 1)
@@ -208,10 +242,11 @@ class Lstm:
             self.p[f"c{d}"] = np.r_[np.ones(hidden), np.zeros(3 * hidden)].astype(np.float32)  # forget, input, output, cell
         self.p |= {"o": draw(2 * hidden, 1), "oc": np.zeros(1, np.float32)}
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None, state: list | None = None) -> np.ndarray:
+        """The hidden states of one direction; `state` (hidden, cell) is where it starts, and then where it ends."""
         steps, n, h = x.shape[0], x.shape[1], self.h
         z_in = (x.reshape(steps * n, -1) @ self.p[f"x{d}"]).reshape(steps, n, 4 * h) + self.p[f"c{d}"]
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        hid, cell = state or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         out = np.zeros((steps, n, h), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = z_in[t] + hid @ self.p[f"r{d}"]
@@ -224,6 +259,8 @@ class Lstm:
             cell = np.where(m, new, cell)
             hid = np.where(m, gates[:, 2 * h :] * tan, hid)
             out[t] = hid
+        if state is not None:
+            state[:] = hid, cell
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray, kept: dict | None = None) -> np.ndarray:
@@ -275,6 +312,31 @@ class Lstm:
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     self.p[k] -= rate * (0.5 if epoch > epochs * 0.6 else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
+    def label_pages(self, found: list[list[Block]], vectors: Vectors) -> list[np.ndarray]:
+        """For each page, which of its blocks are main text."""
+        out = [np.zeros(0, bool)] * len(found)
+        short = [i for i, page in enumerate(found) if len(page) <= GROUP_BLOCKS]
+        x = vectors.of([found[i] for i in short])
+        ends = np.cumsum([0, *[len(found[i]) for i in short]])
+        for i, on in zip(short, self.label([x[a:b] for a, b in zip(ends, ends[1:], strict=False)]), strict=True):
+            out[i] = on
+        for i, page in enumerate(found):
+            if len(page) > GROUP_BLOCKS:
+                out[i] = self.label_long(page, vectors)
+        return out
+
+    def label_long(self, page: list[Block], vectors: Vectors) -> np.ndarray:
+        """As label, for one page in stretches: the states go from one to the next, the vectors of one are in memory at once."""
+        cuts = [(a, min(a + GROUP_BLOCKS, len(page))) for a in range(0, len(page), GROUP_BLOCKS)]
+        logits = np.full(len(page), self.p["oc"][0], np.float32)
+        for k, (d, order) in enumerate((("f", cuts), ("b", cuts[::-1]))):
+            state = [np.zeros((1, self.h), np.float32), np.zeros((1, self.h), np.float32)]
+            for a, b in order:
+                x = vectors.of([page], (a, b))[:, None, :]
+                hidden = self._pass(x, np.ones((b - a, 1), bool), d, None, state)
+                logits[a:b] += hidden[:, 0] @ self.p["o"][k * self.h : (k + 1) * self.h, 0]
+        return logits > 0
+
     def label(self, pages: list[np.ndarray], batch: int = 128) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
         out: list = [np.zeros(0, bool)] * len(pages)
@@ -339,7 +401,7 @@ def made_up_page(rng: np.random.Generator, texts: list[str]) -> str:
     title = HELD + short()
     for _ in range(int(rng.integers(1, 7))):
         body.append(pick(f"<p>{HELD}{text()}</p>", f"<p>{HELD}{text()}</p>", f"<p>{HELD}{text()}</p>", f"<h2>{HELD}{short()}</h2><p>{HELD}{text()}</p>", f"<ul><li>{HELD}{text()}</li><li>{HELD}{short()}</li></ul>", f"<blockquote>{HELD}{text()}</blockquote>", f"<p><b>{HELD}{text()}<br><p>{HELD}{text()}</p>", f"<div>{HELD}{text()}</div>", f"<table><tr><td>{HELD}{short()}</td><td>{HELD}{text()}</td></tr></table>"))
-        if some(0.15):
+        if some(0.35):
             body.append(other[int(rng.integers(len(other)))]())
     if some(0.2):
         body.append(comments())
@@ -385,13 +447,15 @@ def main_text(pages: DataFrame, model: Lstm) -> DataFrame:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = [blocks_of(h.as_py()) for h in batch.column(2)]
-                ends = np.cumsum([0, *map(len, found)])
-                x = vectors.of(found)
-                on = shared.value.label([x[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            begin, found = 0, []
+            for row, page in enumerate(whole.column(2), 1):
+                found.append(blocks_of(page.as_py()))
+                if row < whole.num_rows and len(found) < 256 and sum(map(len, found)) < GROUP_BLOCKS:
+                    continue
+                batch, begin = whole.slice(begin, len(found)), row
+                on = shared.value.label_pages(found, vectors)
                 texts = ["\n".join(b.text for b, yes in zip(page, marks, strict=True) if yes) for page, marks in zip(found, on, strict=True)]
+                found = []
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
