@@ -9,28 +9,36 @@ distance of the whole item against any substring of the stretch. (First a count:
 k edits leave all but GRAM * k of the item's runs of GRAM code points, so a
 stretch with fewer of them can't hold it.)
 
-The items of one batch make one broadcast of at most `batch_chars` code points;
-a larger benchmark is matched in several passes over the texts.
+An item too short for a single edit must stand between word borders, so that
+"a" is not found inside of words. Items of fewer than LEAST code points match
+nothing, as they stand in unrelated texts too.
+
+The items of one batch make one broadcast of at most `batch_chars` code points
+(or one item); a larger benchmark is matched in several passes over the texts, each
+written down before the next, so that a worker holds one batch's automaton. Its
+items' patterns are made when they are met, and RECENT of them are kept.
+
+The automaton is the public package pyahocorasick, which workers need too.
 
 Defined cases: null and empty texts match nothing, null and empty items (also
 those without letters and digits) match nothing; repeated items match each under its
 own item_id, which may be null; one row for each item and text, with the least distance and the
-earliest end that has it.
+earliest end that has it; texts keep their rows, also repeated ones.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import only, small_batches
-
+from tideline.llm.shared import Steps, only, small_batches
 
-GRAM = 5
+GRAM, LEAST, RECENT = 5, 8, 4096
 _BETWEEN = re.compile(r"[\W_]+")
 
 
@@ -83,14 +91,15 @@ class Pattern:
 
 
 class Matcher:
-    """The automaton of all items' pieces, and their patterns; built where it is used."""
+    """The automaton of all items' pieces; built where it is used."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[int | None, str]], share: float):
         import ahocorasick
 
-        self.items = [(item_id, text, budget(text, share), Pattern(text), frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))) for item_id, text in items]
+        self.items = [(item_id, text, budget(text, share)) for item_id, text in items]
+        self.known = lru_cache(RECENT)(self._known)
         owners: dict[str, list[tuple[int, int]]] = {}
-        for number, (_, text, k, _, _) in enumerate(self.items):
+        for number, (_, text, k) in enumerate(self.items):
             for offset, piece in pieces(text, k):
                 owners.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
@@ -98,7 +107,11 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), held))
         self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+    def _known(self, number: int) -> tuple[Pattern, frozenset[str]]:
+        text = self.items[number][1]
+        return Pattern(text), frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+
+    def matches(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """item_id, distance, budget and end of each item within its budget of some stretch of text."""
         starts: dict[int, set[int]] = {}
         for end, (size, held) in self.automaton.iter(text):
@@ -106,11 +119,16 @@ class Matcher:
                 starts.setdefault(number, set()).add(end + 1 - size - offset)
         out = []
         for number, found in starts.items():
-            item_id, item, k, pattern, grams = self.items[number]
+            item_id, item, k = self.items[number]
+            if k == 0:  # the one piece is the item
+                whole = [at for at in sorted(found) if text[at - 1 : at] in ("", " ") and text[at + len(item) : at + len(item) + 1] in ("", " ")]
+                out += [(item_id, 0, 0, whole[0] + len(item))] if whole else []
+                continue
             exact = text.find(item)
             if exact >= 0:
                 out.append((item_id, 0, k, exact + len(item)))
                 continue
+            pattern, grams = self.known(number)
             least, at, low, high = k + 1, 0, None, None
             for start in [*sorted(found), None]:  # starts that are close to each other share a stretch
                 if low is not None and (start is None or start > high + 2 * k):
@@ -130,14 +148,26 @@ class Matcher:
 
 
 def item_batches(items: DataFrame, batch_chars: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The plain items in lists of at most batch_chars code points (or one item)."""
-    sizes = items.select("item_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    batches = -(-total // max(1, batch_chars // 2)) or 1
-    for number in range(batches):
-        some = items if batches == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == number)
-        held = sorted(((r.item_id, plain(r.text)) for r in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield [(i, t) for i, t in held if t]
+    """The plain items in lists of at most batch_chars code points, or of one hash bucket of items where that is larger.
+
+    Buckets are so many that one holds an eighth of a list on average; their sizes alone decide which go together.
+    """
+    length = F.coalesce(F.length("text"), F.lit(0))
+    total = items.agg(F.sum(length)).first()[0] or 0
+    buckets = max(1, -(-8 * total // batch_chars)) if total > batch_chars else 1
+    placed = items.withColumn("_bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets)))
+    groups: list[list[int]] = [[]]
+    room = batch_chars
+    for bucket, n in placed.groupBy("_bucket").agg(F.sum(length)).orderBy("_bucket").collect() if buckets > 1 else [(0, total)]:
+        if n > room and groups[-1]:
+            groups.append([])
+            room = batch_chars
+        groups[-1].append(bucket)
+        room -= n
+    for group in groups:
+        some = placed if buckets == 1 else placed.filter(F.col("_bucket").isin(group))
+        held = sorted(((r.item_id, plain(r.text)) for r in some.select("item_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield [(i, t) for i, t in held if len(t) >= LEAST]
 
 
 def _per_batch(items: DataFrame, share: float, batch_chars: int):
@@ -157,7 +187,7 @@ def _per_batch(items: DataFrame, share: float, batch_chars: int):
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance, budget, end_at (in the plain text) for each item found in a text."""
-    out = None
+    out, steps = None, Steps(docs.sparkSession)
     for found in _per_batch(items, share, batch_chars):
 
         def match(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
@@ -168,18 +198,19 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: i
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "budget", "end_at"])
 
         part = only(docs, "doc_id", "text").mapInArrow(match, "doc_id long, item_id long, distance int, budget int, end_at long")
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else steps.settle(out).unionByName(steps.settle(part))
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, in which no test item is found; no shuffle."""
-    at = docs.columns.index("text")
+    at, steps, first = docs.columns.index("text"), Steps(docs.sparkSession), True
     for found in _per_batch(items, share, batch_chars):
 
         def clean(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not found(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = (docs if first else steps.settle(docs)).mapInArrow(clean, docs.schema)
+        first = False
     return docs
