@@ -11,9 +11,15 @@ any store that Arrow knows serves. A file's name is unique to the attempt that
 writes it and counts only once its task has reported it, so a lost executor
 leaves an orphan and no wrong record.
 
-Defined cases: null html is an empty payload; null url leaves the target out;
-line ends inside a url are percent-encoded; rows that repeat a page_id are a
+Archives of others are read too: their records have a record_id and no page_id,
+their chunked, compressed or other blocks come as they stand, and only SHA-256
+digests in hexadecimal digits are checked.
+
+Defined cases: null html is an empty payload; null url leaves the target out; a
+url with line ends, or white space at its ends, has a percent-encoded twin in the
+header QUOTED, from which it is read back; rows that repeat a page_id are a
 record each, and if theirs is the smallest page_id of a payload, all are responses.
+An archive without records has an empty index; one that ends early is an error.
 """
 
 from __future__ import annotations
@@ -22,15 +28,17 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import settle, shared_dir, small_batches
+from tideline.llm.shared import look_up, settle, shared_dir, small_batches
 
 CHUNK = 1 << 20
+QUOTED = "X-Target-URI-Quoted"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,7 +53,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {page_urn(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        plain = url.replace("\r", "%0D").replace("\n", "%0A").strip()
+        head += [f"WARC-Target-URI: {plain}"] + [f"{QUOTED}: {quote(url, safe='')}"] * (plain != url)
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {page_urn(refers_to)}"]
@@ -59,8 +68,8 @@ def headers(raw: bytes) -> dict[str, str]:
 
 
 def urn_page(value: str) -> int | None:
-    number = value.removeprefix("<urn:page:").removesuffix(">")
-    return None if number == "None" else int(number)
+    number = value.removeprefix("<urn:page:").removesuffix(">") if value.startswith("<urn:page:") else ""
+    return int(number) if number.lstrip("-").isdigit() else None
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 100, broadcast_rows: int = 100_000) -> DataFrame:
@@ -72,8 +81,8 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 100, broadcast_rows: int
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     long = rows.filter(F.octet_length("html") >= least_bytes).select("page_id", "digest")
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    again = long.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    firsts = settle(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    again = look_up(long, firsts, ["digest"], "n", ["page_id"]).filter(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
     again = settle(again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"))
     again = F.broadcast(again) if again.count() <= broadcast_rows else again.hint("merge")
     known = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
@@ -117,11 +126,11 @@ def write_monoliths(records: DataFrame, folder: str, archive_bytes: int = 128 <<
 
 def records_of(stream, chunk: int = CHUNK) -> Iterator[bytes]:
     """The records of a gzip stream (of one member or several), inflated piece by piece."""
-    unpack, held = zlib.decompressobj(31), bytearray()
+    unpack, held, inside = zlib.decompressobj(31), bytearray(), False
     while data := stream.read(chunk):
         while data:
             held += unpack.decompress(data)
-            data = unpack.unused_data
+            data, inside = unpack.unused_data, not unpack.eof
             if unpack.eof:
                 unpack = zlib.decompressobj(31)
             at = 0
@@ -132,8 +141,8 @@ def records_of(stream, chunk: int = CHUNK) -> Iterator[bytes]:
                 yield bytes(held[at:whole])
                 at = whole
             del held[:at]
-    if held.strip():
-        raise ValueError("the archive ends within a record")
+    if inside or held.strip():
+        raise ValueError("the archive ends early")
 
 
 def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
@@ -156,30 +165,37 @@ def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
                 with store.open_output_stream(target + ".idx", compression=None) as out:
                     out.write("".join(f"{o} {n} {kind} {name}\n" for _, o, n, kind, name in rows).encode())
                 names = ["path", "offset", "length", "record_type", "record_id"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
     return monoliths.select("path").mapInArrow(rewrite, "path string, offset long, length long, record_type string, record_id string")
 
 
 def read_members(index: DataFrame, folder: str) -> DataFrame:
-    """Fetch every indexed record by its offset: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+    """Fetch every indexed record by its offset: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits), record_id.
 
     A response's digest and length are those of the payload found; a revisit's
-    stand in its own head, which describes the payload that it refers to.
+    stand in its own head, which describes the payload that it refers to. In
+    archives of others a revisit may have neither, and records of any type come:
+    their payload is the block behind the HTTP head, or the whole block if it has none.
     """
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def parse(raw: bytes) -> tuple:
         warc, _, block = raw[:-4].partition(b"\r\n\r\n")
         head = headers(warc)
-        http, _, payload = block.partition(b"\r\n\r\n")
-        url, digest = head.get("warc-target-uri"), head["warc-payload-digest"].removeprefix("sha256:")
-        if head["warc-type"] == "revisit":
-            return urn_page(head["warc-record-id"]), url, int(headers(http)["content-length"]), digest, "revisit", urn_page(head["warc-refers-to"]), None
-        if (found := hashlib.sha256(payload).hexdigest()) != digest:
-            raise ValueError(f"{head['warc-record-id']}: the payload does not match its digest")
-        return urn_page(head["warc-record-id"]), url, len(payload), found, "response", None, payload
+        name, kind = head["warc-record-id"], head["warc-type"]
+        http, _, payload = block.partition(b"\r\n\r\n") if "msgtype=" in head.get("content-type", "").replace(" ", "") or kind == "revisit" else (b"", b"", block)
+        url = unquote(head[QUOTED.lower()]) if QUOTED.lower() in head else head.get("warc-target-uri")
+        given = head.get("warc-payload-digest", "").removeprefix("sha256:")
+        if kind == "revisit":
+            size = headers(http).get("content-length")
+            return urn_page(name), url, None if size is None else int(size), given or None, kind, urn_page(head.get("warc-refers-to", "")), None, name
+        found = hashlib.sha256(payload).hexdigest()
+        if len(given) == 64 and given != found:
+            raise ValueError(f"{name}: the payload does not match its digest")
+        return urn_page(name), url, len(payload), found, kind, None, payload, name
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
@@ -194,7 +210,7 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
                     out.append(parse(zlib.decompress(source.read_at(length, offset), 31)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return index.mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return index.mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string")
 
 
 def archive(pages: DataFrame, least_bytes: int = 100) -> tuple[DataFrame, str]:
