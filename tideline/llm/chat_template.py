@@ -14,6 +14,9 @@ maps; `.name` and `['name']` look up map entries only; the filters are fixed.
 Expressions: or, and, not, == != < <= > >= in, + ~ (text), literals, names,
 look-ups, filters (escape, trim, upper, lower, length, default(x)).
 
+A filter, operator or `for` that a value's kind doesn't allow is a TemplateError,
+at compile time where only constants are involved.
+
 `escape` makes text safe to stand between control strings: a backslash is
 doubled, and one is put after the first character of every control string.
 `unescape` takes that back exactly.
@@ -60,7 +63,7 @@ class TemplateError(ValueError):
     pass
 
 
-FILTERS: dict[str, Callable] = {
+_FILTERS: dict[str, Callable] = {
     "escape": lambda x: escape(_text(x)),
     "trim": lambda x: _text(x).strip(),
     "upper": lambda x: _text(x).upper(),
@@ -68,7 +71,8 @@ FILTERS: dict[str, Callable] = {
     "length": lambda x: len(x),
     "default": lambda x, y="": y if x is None else x,
 }
-_SPLIT = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_SPLIT = re.compile(rf"(\{{\{{-?(?:{_QUOTED}|.)*?-?\}}\}}|\{{%-?(?:{_QUOTED}|.)*?-?%\}}|\{{#.*?#\}})", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+~<>|.,()\[\]=]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -77,6 +81,21 @@ def _text(x: Any) -> str:
     return "" if x is None else x if isinstance(x, str) else ("true" if x else "false") if isinstance(x, bool) else str(x)
 
 
+def _checked(f: Callable, what: str) -> Callable:
+    """f, whose complaints about kinds of values are TemplateErrors."""
+
+    def run(*values: Any) -> Any:
+        try:
+            return f(*values)
+        except TypeError:
+            raise TemplateError(f"{what} does not take {', '.join(type(v).__name__ for v in values)}") from None
+
+    return run
+
+
+FILTERS = {name: _checked(f, f"filter {name}") for name, f in _FILTERS.items()}
+
+
 # Syntax tree: ("const", v), ("name", n), ("get", a, b), ("filter", name, a, args), ("not", a),
 # ("op", symbol, a, b); statements ("out", e), ("for", n, e, body), ("if", [(e, body)...]),
 # ("set", n, e), ("gen", body), each body a list.
@@ -229,10 +248,18 @@ def parse(template: str) -> list:
     return top
 
 
-OPERATORS: dict[str, Callable] = {
+_OPERATORS: dict[str, Callable] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in b, "~": lambda a, b: _text(a) + _text(b), "+": lambda a, b: a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b),
 }
+OPERATORS = {symbol: _checked(f, symbol) for symbol, f in _OPERATORS.items()}
+
+
+def _look_up(held: Any, k: Any) -> Any:
+    """An entry of a map or list; none if there is no such entry."""
+    if isinstance(held, dict):
+        return held.get(k) if isinstance(k, (str, int)) else None
+    return held[k] if isinstance(held, list) and isinstance(k, int) and -len(held) <= k < len(held) else None
 
 
 def fold(e: tuple) -> tuple:
@@ -244,7 +271,8 @@ def fold(e: tuple) -> tuple:
         a = fold(e[1])
         return ("const", not a[1]) if a[0] == "const" else ("not", a)
     if kind == "get":
-        return ("get", fold(e[1]), fold(e[2]))
+        a, key = fold(e[1]), fold(e[2])
+        return ("const", _look_up(a[1], key[1])) if a[0] == key[0] == "const" else ("get", a, key)
     if kind == "filter":
         a, args = fold(e[2]), [fold(x) for x in e[3]]
         done = all(x[0] == "const" for x in (a, *args))
@@ -283,7 +311,10 @@ def fold_body(body: list) -> list:
             elif branches:
                 out.append(("if", branches))
         elif s[0] == "for":
-            out.append(("for", s[1], fold(s[2]), fold_body(s[3])))
+            items = fold(s[2])
+            if items[0] == "const" and items[1]:  # no constant is a list
+                raise TemplateError(f"for does not take {type(items[1]).__name__}")
+            out.append(("for", s[1], items, fold_body(s[3])))
         elif s[0] == "set":
             out.append(("set", s[1], fold(s[2])))
         else:
@@ -303,14 +334,7 @@ def _value(e: tuple) -> Callable[[dict], Any]:
         return lambda env: not a(env)
     if kind == "get":
         a, key = _value(e[1]), _value(e[2])
-
-        def look_up(env: dict) -> Any:
-            held, k = a(env), key(env)
-            if isinstance(held, dict):
-                return held.get(k)
-            return held[k] if isinstance(held, list) and isinstance(k, int) and k < len(held) else None
-
-        return look_up
+        return lambda env: _look_up(a(env), key(env))
     if kind == "filter":
         f, a, args = FILTERS[e[1]], _value(e[2]), [_value(x) for x in e[3]]
         return lambda env: f(a(env), *[x(env) for x in args])
@@ -367,6 +391,8 @@ def _statement(s: tuple) -> Callable[[dict, "_Out", list], None]:
 
     def loop(env: dict, write: "_Out", spans: list) -> None:
         held = items(env) or []
+        if not isinstance(held, list):
+            raise TemplateError(f"for does not take {type(held).__name__}")
         before = {k: env.get(k) for k in (name, "loop")}
         for i, x in enumerate(held):
             env |= {name: x, "loop": {"first": i == 0, "last": i == len(held) - 1, "index": i + 1}}
