@@ -1,9 +1,11 @@
 """Hashed token features of Arrow string columns, in numpy over whole buffers.
 
-A token is a run of bytes of one class. Prefix sums of byte * R**i (modulo 2**64)
+A token is a run of bytes of one class; in scripts that write without spaces each
+sign is one. Prefix sums of byte * R**i (modulo 2**64)
 give the hash of any token, or of its first bytes, without a Python object for
 it. Texts are worked on in slices of bounded size; a longer text is cut between
-tokens, so whole texts count and memory does not grow with them.
+tokens (inside one only if it alone is longer than a slice), so whole texts count
+and memory does not grow with them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ SLICE = 1 << 18
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 
 
+#: First UTF-8 bytes of scripts that write without spaces (Thai and its neighbours; Chinese, Japanese, Korean).
+SIGN_LEADS = np.array([0xE0, *range(0xE3, 0xEE)], np.uint8)
+
+
 def _classes() -> np.ndarray:
     table = np.full(256, MARK, np.uint8)
     table[:33] = SPACE
@@ -64,7 +70,7 @@ class Slice:
         folded = raw + np.where(upper | accent, 32, 0).astype(np.uint8)
         kind = CLASS[raw]
         self.upper = np.r_[0, np.cumsum(upper)]
-        new = np.r_[True, (kind[1:] != kind[:-1]) | (doc_of_byte[1:] != doc_of_byte[:-1])]
+        new = np.r_[True, (kind[1:] != kind[:-1]) | (doc_of_byte[1:] != doc_of_byte[:-1]) | np.isin(raw[1:], SIGN_LEADS)]
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(raw)]
         real = kind[start] != SPACE
