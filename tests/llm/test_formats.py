@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import zlib
 
 import numpy as np
 import pytest
@@ -37,6 +38,17 @@ def test_template_language():
             ct.compile_template(bad)
 
 
+def test_template_errors_are_template_errors():
+    for bad in ("{{ none | length }}", "{{ 1 < 'a' }}", "{% for x in 3 %}{% endfor %}", "{{ 'a' | default(1, 2, 3) }}"):
+        with pytest.raises(ct.TemplateError):
+            ct.compile_template(bad)
+    for late, values in (("{{ x | length }}", {}), ("{{ x < 'a' }}", {"x": 1}), ("{% for y in x %}{% endfor %}", {"x": 4}), ("{{ 'a' in x }}", {"x": 4})):
+        with pytest.raises(ct.TemplateError):
+            ct.compile_template(late)(**values)
+    assert ct.compile_template("{{ '}}' }}{{ \"%}\" }}")()[0] == "}}%}"
+    assert ct.fold_body(ct.parse("{{ 'abc'.x }}{{ 'abc'[0] }}z")) == [("out", ("const", "z"))]
+
+
 def test_folding():
     assert ct.fold_body(ct.parse("a{{ 1 + 2 }}{% if 1 == 1 %}b{% else %}{{ x }}{% endif %}c")) == [("out", ("const", "a3bc"))]
     assert ct.fold(("op", "and", ("const", False), ("name", "x"))) == ("const", False)
@@ -92,10 +104,34 @@ def test_warc_round_trip(spark, sf):
         assert f"{r.offset} {r.length} {r.record_type} {r.record_id}\n" in open(r.path + ".idx").read()
     table = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted(tuple(r)[:5] for r in queries.op8_warc_archives(spark, sf).collect()) == brute_warc(table)
+    urls = ["http://b/%0D", " http://c\t", "a\nb", "http://d/ä ö", ""]
+    index, folder = warc.archive(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], PAGES))
+    assert [r.url for r in warc.read_members(index, folder).orderBy("page_id").collect()] == urls
     index, folder = warc.archive(spark.createDataFrame([], PAGES))
     assert warc.read_members(index, folder).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    def record(kind, name, body, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", *more, f"Content-Length: {len(body)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    rows = [
+        record("warcinfo", "a", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("request", "b", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://h/"),
+        record("response", "c", b"HTTP/1.1 200 OK\r\n\r\nhello", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:ABCD"),
+        record("revisit", "d", b"", "WARC-Refers-To: <urn:uuid:c>"),
+    ]
+    (tmp_path / "x.whole.warc.gz").write_bytes(gzip.compress(b"".join(rows)))
+    (tmp_path / "none.whole.warc.gz").write_bytes(gzip.compress(b""))
+    files = spark.createDataFrame([(str(tmp_path / "x.whole.warc.gz"),), (str(tmp_path / "none.whole.warc.gz"),)], "path string")
+    index = warc.settle(warc.normalise(files, str(tmp_path)))
+    got = {r.record_id: r for r in warc.read_members(index, str(tmp_path)).collect()}
+    assert {k: (r.record_type, r.payload and bytes(r.payload), r.page_id) for k, r in got.items()} == {
+        "<urn:uuid:a>": ("warcinfo", b"software: x\r\n", None), "<urn:uuid:b>": ("request", b"", None), "<urn:uuid:c>": ("response", b"hello", None), "<urn:uuid:d>": ("revisit", None, None),
+    }
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
 def test_normaliser_reads_streams_of_any_cut(chunk):
     records = [warc.record_bytes(i, "u", b"\r\n\r\n" * i, "d", None) for i in range(20)]
@@ -103,6 +139,13 @@ def test_normaliser_reads_streams_of_any_cut(chunk):
     assert list(warc.records_of(io.BytesIO(b"".join(map(gzip.compress, records))), chunk)) == records
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(gzip.compress(records[3][:-3]))))
+    whole = gzip.compress(b"".join(records))
+    flushed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    between = flushed.compress(records[0]) + flushed.flush(zlib.Z_FULL_FLUSH)  # ends between two records, in the middle of the stream
+    for early in (whole[:-9], whole[: len(whole) // 2], between):
+        with pytest.raises(ValueError):
+            list(warc.records_of(io.BytesIO(early), chunk))
+    assert list(warc.records_of(io.BytesIO(b""), chunk)) == list(warc.records_of(io.BytesIO(gzip.compress(b"")), chunk)) == []
 
 
 def texts(html):
@@ -119,6 +162,58 @@ def test_blocks():
     assert not hb.named_label(path) and hb.named_label(("body", "article", "p")) and not hb.named_label(("body", "p"))
 
 
+def test_raw_elements_take_nothing_else():
+    assert texts("<article><p>one</p><svg-icon></svg-icon><p>three</p><p>four</p></article>") == ["one", "three", "four"]
+    assert texts("<p>a<svg width=1/>b</p><title-bar>c</title-bar><button-group>d</button-group>") == ["ab", "c", "d"]
+    assert texts("<div><button>no</div><p>y</p><object><p>no</object><p>z") == ["y", "z"]
+    assert texts("<p>k</p><iframe src=x/><p>l</p><iframe src=y><p>m</p>") == ["k", "l", "m"]
+    assert texts("<svg><g><path/></g><text>no</text></svg>on<math><mi>no</mi></math>ly<select><option>no<option>no</select>") == ["only"]
+    assert texts("<script>var a = '<p>no</p>'</SCRIPT ><p>yes</p><style>no") == ["yes"]
+    assert len(texts("<iframe><p>x" * 20_000)) == 20_000
+
+
+def test_long_pages_are_read_in_stretches(monkeypatch):
+    rng = np.random.default_rng(2)
+    model, vectors = hb.Lstm(3), hb.Vectors()
+    page = [hb.Block(("div", f"p c{rng.integers(9)}"), "word " * int(rng.integers(1, 30)), 0.0) for _ in range(700)]
+    model.p["oc"] = model.p["oc"] - np.median(model.logits(vectors.of([page])[:, None], np.ones((len(page), 1), bool)))
+    whole = model.label([vectors.of([page])])[0]
+    monkeypatch.setattr(hb, "GROUP_BLOCKS", 100)
+    short = [page[:50], [], page[50:60]]
+    got = model.label_pages([page, *short], vectors)
+    assert (got[0] == whole).all() and whole.any() and not whole.all()
+    assert all((a == b).all() for a, b in zip(got[1:], model.label([vectors.of([p]) for p in short]), strict=True))
+
+
+#: Pages whose main text is known, in layouts that neither the table nor the made-up pages have.
+KNOWN = [
+    (
+        "<html><head><title>River</title></head><body><div id='page'><ul class='nav-menu'><li><a href='/'>Home</a><li><a href='/n'>News</a></ul><main><h1>The river rises</h1>"
+        "<p>After a week of rain the river stood two metres over its banks on Monday.</p><ul><li>Schools stay closed.</li><li>Trains run late.</li></ul><p>The town expects it to fall by Friday.</p></main>"
+        "<section class='comments'><h3>Two replies</h3><div class='comment'><p>Stay safe everybody out there.</p></div></section><footer><p>All rights reserved by us.</p></footer></div></body></html>",
+        "The river rises\nAfter a week of rain the river stood two metres over its banks on Monday.\nSchools stay closed.\nTrains run late.\nThe town expects it to fall by Friday.",
+    ),
+    (
+        "<body><header class='masthead'>Daily Post</header><nav><a href='a'>One</a> <a href='b'>Two</a></nav><div class='cookie-banner'>We use cookies to make this site work.</div>"
+        "<article class='post'><h2>Bread at home</h2><p>Mix flour, water &amp; salt, and let the dough rest for twelve hours.</p><div class='ad'>Buy our oven today!</div>"
+        "<p>Bake it in a hot pot until the crust is dark.</p></article><aside class='sidebar'><p>Ten more recipes that you may like to read.</p></aside></body>",
+        "Bread at home\nMix flour, water & salt, and let the dough rest for twelve hours.\nBake it in a hot pot until the crust is dark.",
+    ),
+    (
+        "<body><div class='topbar'>Welcome, please log in</div><div class='content'><h1>A short walk</h1><p>We left the village at dawn and took the old path along the wall.</p>"
+        "<form action='/s'><label>Your mail</label><input><p>Get our letter every week.</p></form><blockquote>The hills were white with frost.</blockquote><p>By noon we had seen nobody at all.</p></div>"
+        "<div class='footer'><a href='/i'>Imprint</a></div></body>",
+        "A short walk\nWe left the village at dawn and took the old path along the wall.\nThe hills were white with frost.\nBy noon we had seen nobody at all.",
+    ),
+]
+
+
+def test_known_main_text_of_unseen_pages(spark, sf):
+    model = hb.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    pages = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(KNOWN)], PAGES)
+    assert {r.page_id: r.text for r in hb.main_text(pages, model).collect()} == {i: t for i, (_, t) in enumerate(KNOWN)}
+
+
 def test_gradients_of_the_lstm():
     rng = np.random.default_rng(1)
     model = hb.Lstm(3, hidden=3)

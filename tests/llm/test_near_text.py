@@ -1,7 +1,9 @@
 """Fingerprints, near-duplicate groups and line windows against brute force."""
 
 import hashlib
+import math
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -47,7 +49,7 @@ def brute_components(rows):
     least = defaultdict(list)
     for i, (d, _) in enumerate(rows):
         least[find(i)].append(d)
-    return {(d, f"{prints[i]:016x}", min(least[find(i)])) for i, (d, _) in enumerate(rows)}
+    return sorted((d, f"{prints[i]:016x}", min(least[find(i)])) for i, (d, _) in enumerate(rows))
 
 
 def some_texts(seed=1):
@@ -69,14 +71,17 @@ def some_texts(seed=1):
 
 def test_near_duplicates_match_brute_force(spark):
     rows = some_texts()
-    got = {tuple(r) for r in bktree.report(docs_of(spark, rows)).collect()}
+    rows += [(1, rows[0][1]), (20, rows[8][1]), (20, "another text under the same id")]  # repeated rows stay rows
+    got = sorted(tuple(r) for r in bktree.report(docs_of(spark, rows)).collect())
     assert got == brute_components(rows)
+    odd = bktree.report(docs_of(spark, [(None, "p q r s"), (None, "p q r s"), (3, "p q r s"), (None, "t u v")]).selectExpr("*", "1 as text_hash", "2 as `_part`", "3 as fingerprint"))
+    assert sorted((r.doc_id or 0, r.component_id or -1) for r in odd.collect()) == [(0, -1), (0, 3), (0, 3), (3, 3)]
 
 
 def test_near_duplicates_on_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {tuple(r) for r in bktree.report(docs).collect()}
+    got = sorted(tuple(r) for r in bktree.report(docs).collect())
     assert got == brute_components(rows)
 
 
@@ -126,7 +131,9 @@ def test_forest_finds_all(spark):
     assert got == want
 
 
-def test_chain_components(spark):
+@pytest.mark.parametrize("hub", [10_000, 1])
+def test_chain_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -171,6 +178,25 @@ def test_next_document_over_many_blocks(spark):
     assert got == {d: f"text {order[(k + 1) % len(order)]}" for k, d in enumerate(order)}
 
 
+def test_next_document_beyond_the_cuts(spark):
+    """More blocks than cuts: ranges between two are cut evenly; rows without an id come last by their text's hash."""
+    rng = random.Random(7)
+    ids = rng.sample(range(10**9), 400) + [7 * 10**9, -(10**9)]
+    rows = [(i, f"text {i}") for i in ids] + [(None, f"none {i}") for i in range(50)]
+    got = simhash.with_next(docs_of(spark, rows), 4, 16).collect()
+    assert len({r._block for r in got}) > 60
+    texts = [t for _, t in sorted(rows, key=lambda r: -r[0] if r[0] is not None else math.inf)]
+    last = [r.next_text for r in got if r.doc_id == -(10**9)]
+    assert last[0].startswith("none")
+    by = {r.text: r.next_text for r in got}
+    assert all(by[a] == b for a, b in zip(texts[:401], texts[1:402], strict=True))
+    seen, at = set(), texts[0]
+    while at not in seen:  # one ring over all rows
+        seen.add(at)
+        at = by[at]
+    assert len(seen) == len(rows) and at == texts[0]
+
+
 def test_edited_fingerprints_of_few_rows(spark):
     assert simhash.edited_fingerprints(docs_of(spark, []).limit(0)).count() == 0
     out = simhash.edited_fingerprints(docs_of(spark, [(1, "abc"), (1, "abc"), (1, None)])).collect()
@@ -203,6 +229,20 @@ def test_line_windows(spark, sf):
     assert sorted(r.text for r in line_windows.drop_repeated_lines(again).collect()) == ["", "a\nb\nc", "a\nb\nc"]
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    block = "\n".join(f"line {i} of a long text" for i in range(100_000))
+    docs = docs_of(spark, [(1, block), (2, "first\n" + block + "\nlast")])
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in line_windows.drop_repeated_lines(docs, "gone").collect()}
+    assert out[1].text == block and out[2].text == "first\nlast" and out[2].gone == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def test_windows_that_most_texts_hold(spark, monkeypatch):
+    rows = [(i, f"a{i}\nx\ny\nz\nb{i}") for i in range(600)]
+    assert {r.doc_id: r.text for r in line_windows.drop_repeated_lines(docs_of(spark, rows)).collect()} == brute_lines(rows)
+
+
 def test_keep_one_holds_unrelated_groups_apart(spark):
     a, b, c, d = "one two three four", "red green blue yellow", "sun moon stars sky", "sea lake river pond"
     rows = [(None, a), (None, a), (None, b), (None, c), (8, c), (5, d), (5, "up down left right"), (9, "up down left right"), (7, "x y z w"), (7, "x y z w"), (None, None)]
@@ -244,16 +284,22 @@ def edited_copies(rng, first, size, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("crowd", [32, 5])
-def test_near_sets_match_brute_jaccard(spark, crowd):
+@pytest.mark.parametrize("few", [16, 0.5])
+def test_near_sets_match_brute_jaccard(spark, monkeypatch, few):
+    monkeypatch.setattr(near_sets, "FEW", few)
     rng = random.Random(12)
     rows = some_texts()
     for g in range(25):
         rows += edited_copies(rng, 1000 + 100 * g, rng.randrange(6, 300), 4, 5)
     rows += edited_copies(rng, 9000, 60, 60, 1)  # the copies reach each other only by their original
     rows += [(9100 + i, " ".join([f"p{j}" for j in range(30)] + [f"q{rng.randrange(9999)}" for _ in range(90)])) for i in range(40)]
+    chain = [f"c{j}" for j in range(100)]  # each within reach of the next only, all with the same passage
+    for i in range(30):
+        chain = [*chain[:97 - 3 * i], *[f"d{i}x{j}" for j in range(3)], *chain[100 - 3 * i :]]
+        rows.append((9200 + i, " ".join(chain)))
+    rows += [(9300 + i, " ".join([f"z{j}" for j in range(40)] + [f"y{i}x{j}" for j in range(6)])) for i in range(40)]  # mostly one passage, none alike
     docs = docs_of(spark, rows)
-    kept = bktree.first_of_groups(docs, near_sets.roots(docs, crowd=crowd))
+    kept = bktree.first_of_groups(docs, near_sets.roots(docs))
     assert sorted(r.doc_id for r in kept.collect()) == brute_jaccard_kept(rows)
 
 

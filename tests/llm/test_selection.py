@@ -1,14 +1,17 @@
 """Ordinal regression, edit matching, mixing and the pipeline against brute force."""
 
+import math
 import random
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_near_text import brute_components, brute_lines
+from tests.llm.test_near_text import brute_jaccard_kept, brute_lines
 from tests.oracle import compare
 from tideline.llm import ordinal, pfair, piece_match, queries
 from tideline.llm.textvec import slices
@@ -57,6 +60,29 @@ def test_held_out_accuracy(spark):
         assert np.mean([(r.p >= at) == (r[rating] == 1) for r in rows]) >= least
 
 
+@pytest.mark.parametrize(("rating", "kind"), [("quality", "forms"), ("toxic", "words")])
+def test_grades_against_plain_sums(spark, sf, rating, kind):
+    """Every document of the table: the score is the sum of its distinct features' weights, the tails are sigmoids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = ordinal.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), rating, kind)
+    for r in ordinal.grade_texts(docs, model, "e", "p").collect():
+        (_, found), = ordinal.features(pa.array([r.text]), kind)
+        score = sum(float(model.weights[i]) for i in set(found.tolist()))
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert abs(tails[0] - r.p) < 1e-6 and abs(model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:], strict=False)) - r.e) < 1e-6
+
+
+def test_word_features_by_hand():
+    """The features of a text are those of its words and their beginnings, whatever stands between them."""
+    rng = random.Random(4)
+    one = lambda w: {int(x) for _, f in ordinal.features(pa.array([w]), "words") for x in f}
+    for _ in range(40):
+        w = ["".join(rng.choice("abcxyz") for _ in range(rng.randrange(1, 10))) for _ in range(rng.randrange(0, 12))]
+        (_, found), = ordinal.features(pa.array([rng.choice([" ", ", ", " 12 ", "\n"]).join(w)]), "words")
+        assert set(found.tolist()) == set().union(*map(one, w)) and len(found) == len(set(found.tolist()))
+    assert one("Abcdef") == one("abcdef") and one("abcdxx") & one("abcdyy") and not one("abxx") & one("abyy") and one("中文") == one("中 文")
+
+
 def test_ordinal_edges(spark):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "x " * 60000, "en", "s", 0), (3, "x", "en", "s", 0)], DOCS).selectExpr("*", "1 as expected", "2 as E", "3 as tail")
     none = ordinal.train(docs, spark.createDataFrame([], "doc_id long, quality int"), "quality", "forms")
@@ -120,6 +146,19 @@ def test_leaks(spark, sf):
     assert piece_match.drop_leaks(docs, items.limit(0)).count() == 5
 
 
+def test_short_items_and_batches(spark):
+    texts = [(1, "a banana split"), (2, "we saw anna karenina today"), (3, "nothing to see"), (4, "anna karenina"), (5, "hannah karenina"), (6, "Anna -- KARENINA!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS)
+    items = spark.createDataFrame([(1, "A!"), (2, "anna karenina")], "item_id long, text string")
+    kept = lambda chars: sorted(r.doc_id for r in piece_match.drop_leaks(docs, items, share=0.05, batch_chars=chars).collect())
+    assert kept(4_000_000) == kept(10) == [1, 3, 5]
+    rng = random.Random(1)
+    many = spark.createDataFrame([(i, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(10, 60)))) for i in range(300)], "item_id long, text string")
+    batches = list(piece_match.item_batches(many, 2000))
+    assert 5 < len(batches) < 20 and sum(map(len, batches)) == 300 - sum(len(piece_match.plain(r.text)) < piece_match.LEAST for r in many.collect())
+    assert all(sum(len(t) for _, t in b) <= 2000 for b in batches)
+
+
 def test_leaks_of_items_without_id(spark):
     item = "The quick brown fox jumps over the lazy dog while nobody in the village looks at it"
     docs = spark.createDataFrame([(1, "before " + item, "en", "s", 1), (5, "clean text", "en", "s", 1)], DOCS)
@@ -128,27 +167,44 @@ def test_leaks_of_items_without_id(spark):
     assert [r.doc_id for r in piece_match.drop_leaks(docs, items.filter("item_id is null")).collect()] == [5]
 
 
-def shares_hold(order, shares):
-    f, got = sum(shares.values()), Counter()
-    for t, s in enumerate(order, 1):
-        got[s] += 1
-        assert all(abs(got[x] - t * shares[x] / f) < 1 for x in shares)
+def greatest_deviation(order, weights):
+    """Over all slots and sources: |slots of the source so far - weight * slots|, in exact numbers of the total weight."""
+    whole = pfair.whole_weights(weights)
+    total, slots = sum(whole.values()), np.arange(1, len(order) + 1).astype(object)  # Python's whole numbers
+    place = {s: i for i, s in enumerate(whole)}
+    numbers = np.array([place[s] for s in order])
+    return max(Fraction(np.abs(np.cumsum(numbers == i).astype(object) * total - slots * w).max(), total) for i, w in enumerate(whole.values()))
 
 
-def test_frames_keep_within_a_block():
+def test_schedules_keep_within_a_block_of_the_given_weights():
     rng = random.Random(8)
-    for _ in range(80):
-        w = {f"s{i}": rng.choice([rng.random() + 1e-3, 1, 7, rng.random() ** 5 + 1e-4]) for i in range(rng.randrange(1, 25))}
-        shares = pfair.whole_shares(w, rng.choice([7, 100, 1000]))
-        shares_hold(pfair.frame_schedule(shares), shares)
-
-
-def test_mix(spark, sf):
+    cases = [{"a": 0.6, "b": 0.3994, "c": 0.0006}, {"a": 2 / 3, "b": 1 / 3}, {"hot": 139.5, "x": 45.25, "tiny": 1e-5 + 0.0}, *[{f"s{i}": rng.choice([rng.random() + 1e-3, 1, 7, rng.random() ** 5 + 1e-4]) for i in range(rng.randrange(1, 40))} for _ in range(30)]]
+    for weights in cases:
+        order = [s for s, _, _ in islice(pfair.schedule(dict.fromkeys(weights, 10**6), weights), 3000)]
+        assert greatest_deviation(order, weights) < 1
+    weights = {"a": 0.6, "b": 0.3994, "c": 0.0006}
+    order = [s for s, _, _ in islice(pfair.schedule(dict.fromkeys(weights, 10**7), weights), 10**6)]
+    assert len(order) == 10**6 and greatest_deviation(order, weights) < 1
+
+
+def test_schedules_deal_every_block_once():
+    rng = random.Random(3)
+    for _ in range(50):
+        blocks = {f"s{i}": rng.randrange(0, 60) for i in range(rng.randrange(1, 12))}
+        weights = {s: rng.random() + 0.01 for s in blocks}
+        out = list(pfair.schedule(blocks, weights))
+        assert [t for _, _, t in out] == list(range(sum(blocks.values())))
+        assert all([j for s, j, _ in out if s == x] == list(range(n)) for x, n in blocks.items())
+    assert list(pfair.schedule({}, {})) == []
+
+
+def test_mix(spark, sf, monkeypatch):
     rng = random.Random(9)
     rows = [(i, "t", "en", rng.choice(["a", "a", "a", "b", None]), 1) for i in range(500)] + [(7, "t", "en", "a", 1)] * 3
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "map('k', 1) as m", "1 as slot_")
-    weights = {"a": 0.5, "b": 0.3, None: 0.2}
-    out = pfair.mix(docs, weights, block_rows=5, frame=20, buckets=16)
+    weights = {"a": 0.5, "b": 0.25, None: 0.25}
+    monkeypatch.setattr(pfair, "PIECE", 13)
+    out = pfair.mix(docs, weights, block_rows=5, bucket_rows=16)
     got = out.collect()
     assert len(got) == len(rows) and Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     blocks = {}
@@ -158,20 +214,33 @@ def test_mix(spark, sf):
     assert all(len({(r.source, r.block) for r in b}) == 1 and sorted(r.place for r in b) == list(range(len(b))) and len(b) <= 5 for b in blocks.values())
     order = [str(blocks[s][0].source) for s in range(len(blocks))]
     end = min(max(i for i, s in enumerate(order) if s == x) for x in set(order)) + 1
-    shares_hold(order[:end], pfair.whole_shares({"a": 0.5, "b": 0.3, "None": 0.2}, 20))
+    assert greatest_deviation(order[:end], {"a": 0.5, "b": 0.25, "None": 0.25}) < 1
+    assert {(r.source, r.target_weight) for r in got} == set(weights.items())
+    assert max(r.slot for r in pfair.mix(docs, weights, block_rows=5, slots=20).collect()) < 23
     assert pfair.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pfair.mix(docs, {"a": 0.0})
-    again = {(r.doc_id, r.slot) for r in pfair.mix(docs.repartition(7), weights, 5, 20, 16).collect()}
+    again = {(r.doc_id, r.slot) for r in pfair.mix(docs.repartition(7), weights, 5, bucket_rows=16).collect()}
     assert {x for x in again if x[0] != 7} == {(r.doc_id, r.slot) for r in got if r.doc_id != 7}
+    monkeypatch.setattr(pfair, "SOURCES", 2)
+    with pytest.raises(ValueError):
+        pfair.mix(docs, weights)
+
+
+def test_mix_query_against_the_schedule(spark, sf):
+    got = queries.op5_source_mixing(spark, sf).collect()
+    counts = Counter(r.source for r in got)
+    assert sum(counts.values()) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    plan = {(s, j): t for s, j, t in pfair.schedule({s: -(-n // 32) for s, n in counts.items()}, pfair.default_weights(counts))}
+    assert all(plan[r.source, r.block] == r.slot for r in got)
+    assert Counter((r.source, r.block) for r in got) == Counter({(s, j): min(32, counts[s] - 32 * j) for s, j in plan})
 
 
 def test_stages_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf).collect()} == brute_lines(rows)
-    first = {d for d, _, c in brute_components(rows) if d == c}
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted(first)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == brute_jaccard_kept(rows)
     items = [(r.item_id, piece_match.plain(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()}
     assert not any(t in piece_match.plain(x) for d, x in rows if d in clean for _, t in items)
@@ -186,12 +255,14 @@ def test_pipeline(spark, sf):
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) > 50
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "mix"]
-    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "a b", "en", "s", 3)], DOCS).selectExpr("*", "1 as slot", "2 as covered")
-    docs = odd
-    for _, stage in corpus_pipeline.STAGES:
+    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "a b", "en", "s", 3), (None, "c d", "en", "s", 3), (1, "c d", "en", "s", 3), (2, "e f", None, "s", 3)], DOCS).selectExpr("*", "1 as slot", "2 as covered")
+    docs, want = odd, {"line_dedup": 6, "near_dedup": 4, "decontaminate": 4, "mix": 4}
+    for name, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, sf)
         assert docs.columns[: len(odd.columns)] == odd.columns
-    assert docs.count() <= 3
+        assert docs.count() == want[name]
+    assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == [(0, "a b"), (1, ""), (1, "c d"), (2, "e f")]
+    assert corpus_pipeline.quality(spark, odd, sf).columns == odd.columns
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
