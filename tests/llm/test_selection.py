@@ -204,7 +204,7 @@ def test_mix(spark, sf, monkeypatch):
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "map('k', 1) as m", "1 as slot_")
     weights = {"a": 0.5, "b": 0.25, None: 0.25}
     monkeypatch.setattr(pfair, "PIECE", 13)
-    out = pfair.mix(docs, weights, block_rows=5, bucket_rows=16)
+    out = pfair.mix(docs, weights, block_rows=5, bucket_rows=16, least_buckets=1)
     got = out.collect()
     assert len(got) == len(rows) and Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     blocks = {}
@@ -220,7 +220,7 @@ def test_mix(spark, sf, monkeypatch):
     assert pfair.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pfair.mix(docs, {"a": 0.0})
-    again = {(r.doc_id, r.slot) for r in pfair.mix(docs.repartition(7), weights, 5, bucket_rows=16).collect()}
+    again = {(r.doc_id, r.slot) for r in pfair.mix(docs.repartition(7), weights, 5, bucket_rows=16, least_buckets=1).collect()}
     assert {x for x in again if x[0] != 7} == {(r.doc_id, r.slot) for r in got if r.doc_id != 7}
     monkeypatch.setattr(pfair, "SOURCES", 2)
     with pytest.raises(ValueError):

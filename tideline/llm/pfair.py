@@ -82,7 +82,7 @@ def default_weights(counts: dict[str, int]) -> dict[str, float]:
     return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, slots: int = 1 << 24, bucket_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, slots: int = 1 << 24, bucket_rows: int = 65_536, least_buckets: int = 1024) -> DataFrame:
     """docs, every row once, with `slot`, `block` (of its source), `place` in the block and `target_weight`.
 
     Ordered by (slot, place) the rows are the mix. Ranks within a source come
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         held = [*map(list, zip(*piece, strict=True)), [given[p[0]] / total for p in piece]]
         spark.createDataFrame(pa.table(held, names=[*columns, weight]), kind).write.mode("append").parquet(path)
     placed = spark.read.schema(kind).parquet(path)
-    buckets = max(1, -(-rows_in_all // bucket_rows))
+    buckets = max(least_buckets, -(-rows_in_all // bucket_rows))
     rows = rows.withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)))
     sizes = rows.groupBy(src, bucket).agg(F.count("*").alias(rank))
     earlier = F.sum(rank).over(Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
