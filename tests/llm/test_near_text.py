@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tideline.llm import bktree, components, line_windows, near_sets, simhash
+from tideline.llm import bktree, components, line_windows, near_sets, shingle_join, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -284,9 +284,9 @@ def edited_copies(rng, first, size, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("few", [16, 0.5])
-def test_near_sets_match_brute_jaccard(spark, monkeypatch, few):
-    monkeypatch.setattr(near_sets, "FEW", few)
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_sets_match_brute_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
     rng = random.Random(12)
     rows = some_texts()
     for g in range(25):

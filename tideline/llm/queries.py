@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bktree, chat_template, html_blocks, line_windows, ordinal, pfair, piece_match, simhash, warc
+from tideline.llm import bktree, chat_template, fill_middle, html_blocks, line_windows, ordinal, pfair, piece_match, shingle_join, simhash, warc, whitening
 
 #: The least P(grade >= 1) that the quality classifier keeps, and the one from which a text counts as toxic.
 KEEP_AT, TOXIC_AT = 0.5, 0.3
@@ -69,9 +69,21 @@ def op10_bktree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.report(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_groups(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_windows.ORACLE}
+    return {"op3_line_dedup": line_windows.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE, "op13_ngram_jaccard_join": shingle_join.ORACLE}
