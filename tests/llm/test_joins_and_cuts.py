@@ -188,3 +188,10 @@ def test_whitening_query(spark, sf):
     got = queries.queries()["op11_embedding_whitening"](spark, sf)
     assert got.count() == 32 * spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert got.first().identity_error < 1e-4
+
+
+def test_lower_letters_changes_ascii_only(spark):
+    rows = [(f"{chr(c)} ABC x",) for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000] + [(f"{chr(c)}Z",) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", shingle_join.lower_letters(df.t).alias("low")).collect()
+    assert all(r.low == "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.t) for r in got)

@@ -37,7 +37,7 @@ from tideline.llm.components import connected_components
 from tideline.llm.shared import Steps, look_up, text_or_empty
 from tideline.llm.simhash import lower_ascii, word_array
 
-PARTS, STRIDE = 8, 16  # of the suffix filter
+PARTS, STRIDE, STRIDES = 8, 16, 8  # of the suffix filter
 TOP = 8  # n-grams by which centres find each other
 BLOCK = 256  # rows of a list that one task compares with as many others
 EXTRA = 5  # percent of a text's n-grams by which the prefix in hash order is longer than one common n-gram needs
@@ -73,9 +73,15 @@ class Rule:
         return F.floor(n * (100 - self.percent) / self.percent)
 
 
+def lower_letters(text: Column) -> Column:
+    """A-Z in lower case and nothing else: by `lower`, unless the text has another capital letter, or a sign that Java does not know."""
+    others = text.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}&&[^\x00-\x7F]]")
+    return F.when((F.octet_length(text) > F.length(text)) & others, lower_ascii(text)).otherwise(F.lower(text))
+
+
 def words_of(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns, _words, and _key (equal for equal sequences of words) of each row."""
-    rows = docs.select(*columns, word_array(lower_ascii(text_or_empty())).alias("_words"))
+    rows = docs.select(*columns, word_array(lower_letters(text_or_empty())).alias("_words"))
     return rows.withColumn("_key", F.xxhash64("_words"))
 
 
@@ -91,42 +97,44 @@ def _extra(n: Column) -> Column:
 
 
 def mark(docs: DataFrame, rule: Rule, *columns: str) -> DataFrame:
-    """The columns, _key, n and `first`, the first n-grams in hash order, of each row."""
-    rows = words_of(docs, *columns).withColumn("_set", shingle_set(rule.width)).withColumn("n", F.size("_set"))
+    """The columns, text_hash, _key, n and `first`, the first n-grams in hash order, of each row."""
+    hashed = docs.select(*columns, "text", F.xxhash64(text_or_empty()).alias("text_hash"))
+    rows = words_of(hashed, *columns, "text_hash").withColumn("_set", shingle_set(rule.width)).withColumn("n", F.size("_set"))
     shipped = F.least(F.col("n"), F.col("n") - rule.own(F.col("n")) + _extra(F.col("n")))
-    return rows.select(*columns, "_key", F.when(F.size("_words") > 0, F.col("n")).otherwise(0).alias("n"), F.slice("_set", F.lit(1), shipped.cast("int")).alias("first"))
+    n = F.when(F.size("_words") > 0, F.col("n")).otherwise(0).alias("n")
+    return rows.select(*columns, "text_hash", "_key", n, F.slice("_set", F.lit(1), shipped.cast("int")).alias("first"))
 
 
 def suspects(marked: DataFrame, rule: Rule) -> DataFrame:
-    """_key of the texts of which enough first n-grams are first n-grams of others too."""
+    """_key, and text_hash of one of its rows, of the texts of which enough first n-grams are first n-grams of others too."""
     grams = marked.select("_key", F.explode("first").alias("h"))
     once = grams.groupBy("h").agg(F.min("_key").alias("_key"), F.max("_key").alias("_other")).filter("_key = _other")
     alone = once.groupBy("_key").agg(F.count("*").alias("alone"))
-    texts = marked.filter("n > 0").groupBy("_key").agg(F.max("n").alias("n"), F.max(F.size("first")).alias("shipped"))
+    texts = marked.filter("n > 0").groupBy("_key").agg(F.max("n").alias("n"), F.max(F.size("first")).alias("shipped"), F.min("text_hash").alias("text_hash"))
     met = F.col("shipped") - F.coalesce("alone", F.lit(0))
-    return texts.join(alone.hint("merge"), "_key", "left").filter(met >= _extra(rule.own(F.col("n")))).select("_key")
+    return texts.join(alone.hint("merge"), "_key", "left").filter(met >= _extra(rule.own(F.col("n")))).select("_key", "text_hash")
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, slots: int = 1 << 20) -> DataFrame:
-    """Of the rows with a _key of the (settled, distinct) keys one for each key.
+def texts_of(docs: DataFrame, asked: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The (settled, distinct) texts asked for, once each.
 
-    A bitmap of the keys' places among `slots`, of fixed size, is broadcast first, so that most
-    other rows are not shuffled; it lets none of the keys' rows go.
+    A bitmap of their hashes' places among `slots`, of fixed size, is broadcast first, so that most
+    other texts are not shuffled; it lets none of those asked for go. Copies meet within their
+    partition first.
     """
-    slot = F.pmod(F.col("_key"), F.lit(slots))
+    slot = F.pmod(F.col("text_hash"), F.lit(slots))
     word, bit = F.floor(slot / 64).alias("_word"), slot.bitwiseAND(F.lit(63)).cast("int")
-    bits = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
-    likely = rows.select("*", word).join(F.broadcast(bits), "_word").filter(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1)
-    one = likely.groupBy("_key").agg(*[F.first(c).alias(c) for c in rows.columns if c != "_key"])
-    return one.join(keys.hint("merge"), "_key", "left_semi")
+    bits = asked.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    rows = docs.select(text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash")).select("*", word)
+    likely = rows.join(F.broadcast(bits), "_word").filter(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    return likely.groupBy("text_hash").agg(F.first("text").alias("text")).join(asked.hint("merge"), "text_hash").select("text")
 
 
 def met_grams(sets: DataFrame, steps: Steps) -> DataFrame:
     """_key, n, x (those of its n-grams that other texts have too, the rarest first) and fame, how widespread they are."""
     rows = sets.select("_key", "n", F.explode("_set").alias("h"))
-    held = steps.settle(rows.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").withColumn("times", F.col("many")))
-    met = look_up(rows, held, ["h"], "times", ["_key"]).groupBy("_key", "n")
-    met = met.agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("x"), F.sum("many").alias("fame"))
+    held = rows.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1")
+    met = rows.join(held.hint("merge"), "h").groupBy("_key", "n").agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("x"), F.sum("many").alias("fame"))
     return met.select("_key", "n", (F.col("fame") / F.col("n")).alias("fame"), F.transform("x", lambda y: y["h"]).alias("x"))
 
 
@@ -200,18 +208,18 @@ def prefixes(rows: DataFrame, keys: list[str], kept: list[str], needed: Column,
     rows: keys, h, kept (with _key and _group), _root. Only n-grams h count that several
     roots and several groups hold. needed: how many of them a pair has in common at least.
     rest: how many of the row's n-grams are left from h on; tail: how many after it, by part
-    (counted anew every STRIDE places, so up to STRIDE - 1 of those before it count too).
+    (counted anew every STRIDE places, or STRIDES times, so some of those before it count too).
     """
     held = rows.groupBy(*keys, "h").agg(F.count("*").alias("many"), *[f(c).alias(f"{c}{i}") for c in ("_root", "_group") for i, f in enumerate((F.min, F.max))])
-    held = steps.settle(held.filter("_root0 <> _root1 and _group0 <> _group1").select(*keys, "h", "many", F.col("many").alias("times")))
-    left = look_up(rows, held, [*keys, "h"], "times", ["_key"])
-    some = left.groupBy(*keys, *kept).agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("x")).withColumn("x", F.transform("x", lambda y: y["h"]))
+    held = held.filter("_root0 <> _root1 and _group0 <> _group1").select(*keys, "h", "many")
+    some = rows.join(held.hint("merge"), [*keys, "h"]).groupBy(*keys, *kept).agg(F.sort_array(F.collect_list(F.struct("many", "h"))).alias("x")).withColumn("x", F.transform("x", lambda y: y["h"]))
     first = (F.size("x") + 1 - needed).cast("int")
     part = lambda b: lambda p: F.size(F.filter(F.slice("x", b + 2, F.size("x")), lambda y: F.pmod(y, F.lit(PARTS)) == p))
     parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
-    tails = F.transform(F.sequence(F.lit(0), first - 1, F.lit(STRIDE)), lambda b: F.transform(parts, part(b)))
-    some = some.withColumn("first", first).filter("first > 0").withColumn("tails", tails)
-    place = F.transform(F.slice("x", F.lit(1), F.col("first")), lambda h, i: F.struct(h.alias("h"), (F.size("x") - i).alias("rest"), F.get("tails", F.floor(i / STRIDE).cast("int")).alias("tail")))
+    stride = F.greatest(F.lit(STRIDE), F.ceil(first / STRIDES).cast("int"))
+    tails = F.transform(F.sequence(F.lit(0), F.col("first") - 1, F.col("stride")), lambda b: F.transform(parts, part(b)))
+    some = some.withColumn("first", first).filter("first > 0").withColumn("stride", stride).withColumn("tails", tails)
+    place = F.transform(F.slice("x", F.lit(1), F.col("first")), lambda h, i: F.struct(h.alias("h"), (F.size("x") - i).alias("rest"), F.get("tails", F.floor(i / F.col("stride")).cast("int")).alias("tail")))
     return steps.settle(some.select(*keys, *kept, F.explode(place).alias("y")).select(*keys, "y.h", *kept, "y.rest", "y.tail"))
 
 
@@ -306,7 +314,7 @@ def groups(marked: DataFrame, docs: DataFrame, rule: Rule, steps: Steps, more_li
     _key and _words, in which texts are compared with one as well.
     """
     asked = steps.settle(suspects(marked, rule))
-    held = steps.settle(with_keys(words_of(docs), asked))
+    held = steps.settle(words_of(texts_of(docs, asked)))
     sets = steps.settle(held.select("_key", shingle_set(rule.width).alias("_set")).withColumn("n", F.size("_set")))
     met = steps.settle(met_grams(sets, steps))
     pairs = centres(met, steps)
