@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.text import round_half_even
 from tideline.operators.intervals import in_cells
 
 
@@ -45,11 +46,29 @@ def majority(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int
     return tied_labels(labelled, chunks, keys, size).select(*keys, "chunk", F.get("tied", 0).alias("label"), F.size("tied").alias("n_tied"))
 
 
-def sparse_rule(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int | float) -> DataFrame:
-    """keys, chunk, label: non_speech if strictly longest, else one_spk if strictly longest, else two_spk (also for ties and empty chunks)."""
-    sums = overlaps(labelled, keys, size, "label").groupBy(*keys, "chunk")
-    of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("end") - F.col("start"))), F.lit(0))
-    sums = sums.agg(of("non_speech").alias("non"), of("one_spk").alias("one"), of("two_spk").alias("two"))
+def rounded_overlaps(iv: DataFrame, keys: list[str], size: float, decimals: int, *more: str) -> DataFrame:
+    """As `overlaps`, with the chunks' borders rounded (as Python does) before anything is measured."""
+    low, high = F.floor(F.col("start") / size) - 1, F.floor(F.col("end") / size) + 1
+    rows = iv.withColumn("chunk", F.explode(F.sequence(F.greatest(low, F.lit(0).cast("long")), F.greatest(high, F.lit(0).cast("long")))))
+    begin, end = (round_half_even((F.col("chunk") + i) * F.lit(float(size)), decimals) for i in (0, 1))
+    parts = rows.select(*keys, *more, "chunk", F.greatest("start", begin).alias("start"), F.least("end", end).alias("end"))
+    return parts.filter("start < end")
+
+
+def sparse_rule(labelled: DataFrame, chunks: DataFrame, keys: list[str], size: int | float, decimals: int | None = None) -> DataFrame:
+    """keys, chunk, label: non_speech if strictly longest, else one_spk if strictly longest, else two_spk (also for ties and empty chunks).
+
+    decimals: times are seconds, and chunk borders are rounded to so many places first, as in the chunks' names. The parts
+    of a label are then added up in order of their start, as sums of doubles depend on it.
+    """
+    if decimals is None:
+        parts = overlaps(labelled, keys, size, "label").groupBy(*keys, "chunk")
+        of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("end") - F.col("start"))), F.lit(0))
+    else:
+        parts = rounded_overlaps(labelled, keys, size, decimals, "label").groupBy(*keys, "chunk")
+        own = lambda label: F.sort_array(F.collect_list(F.when(F.col("label") == label, F.struct("start", "end"))))
+        of = lambda label: F.aggregate(own(label), F.lit(0.0), lambda s, x: s + (x["end"] - x["start"]))
+    sums = parts.agg(of("non_speech").alias("non"), of("one_spk").alias("one"), of("two_spk").alias("two"))
     label = F.when((F.col("non") > F.col("one")) & (F.col("non") > F.col("two")), "non_speech").when((F.col("one") > F.col("non")) & (F.col("one") > F.col("two")), "one_spk").otherwise("two_spk")
     return chunks.join(sums, [*keys, "chunk"], "left").select(*keys, "chunk", label.alias("label"))
 

@@ -33,7 +33,7 @@ def annotate_chunks(samples: DataFrame, labels: DataFrame, recordings: DataFrame
     grid = chunks.grid(recordings, key, "duration", seconds, "full" if sparse else "drop")
     own = labels.join(recordings.select("audio_id"), "audio_id", "left_semi")
     if sparse:
-        found = chunks.sparse_rule(own, grid, key, seconds).select(*key, "chunk", F.array("label").alias("tied"))
+        found = chunks.sparse_rule(own, grid, key, seconds, decimals=1).select(*key, "chunk", F.array("label").alias("tied"))
     else:
         found = chunks.tied_labels(own, grid, key, seconds)
     classes = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "tied"))).alias("_c"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import arrays, text
-from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational
+from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals
 from tideline.operators.steps import settle
 from tideline.sources import text as annotations
 
@@ -297,6 +297,27 @@ def iv_merge_seconds(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.merge(seconds_iv(spark, sf), KEY, 86400.0).select("user_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
 
 
+#: Chunks of 0.6 s: an event is labelled by its type and lasts value / 50 s from 0, 0.1, ... 59.9 s on; many end on chunk borders.
+_TENTHS = """lab AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'non_speech' WHEN 'view' THEN 'one_spk' ELSE 'two_spk' END AS label,
+(event_id % 600) / 10e0 AS s, (event_id % 600 + event_id // 600 % 20) / 10e0 AS e FROM events WHERE event_id IS NOT NULL),
+grid AS (SELECT user_id, c AS chunk, round(c * 0.6e0, 1) AS b, round((c + 1) * 0.6e0, 1) AS f FROM (SELECT DISTINCT user_id FROM lab) t, range(100) r(c))"""
+
+
+@query(f"""WITH {_TENTHS}, p AS (SELECT user_id, chunk, label, list_reduce(list(least(e, f) - greatest(s, b) ORDER BY greatest(s, b), least(e, f)), lambda x, y: x + y) AS d
+FROM grid JOIN lab USING (user_id) WHERE greatest(s, b) < least(e, f) GROUP BY ALL),
+q AS (SELECT user_id, chunk, coalesce(max(d) FILTER (label = 'non_speech'), 0) AS non, coalesce(max(d) FILTER (label = 'one_spk'), 0) AS one, coalesce(max(d) FILTER (label = 'two_spk'), 0) AS two FROM grid LEFT JOIN p USING (user_id, chunk) GROUP BY ALL)
+SELECT user_id, chunk, CASE WHEN non > one AND non > two THEN 'non_speech' WHEN one > non AND one > two THEN 'one_spk' ELSE 'two_spk' END AS label FROM q""")
+def chunk_sparse_tenths(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse rule on chunks of 0.6 s, whose borders are rounded to tenths, with labels that end on chunk borders."""
+    e = table(spark, sf, "events").filter("event_id is not null and user_id is not null")
+    label = F.when(F.col("event_type") == "click", "non_speech").when(F.col("event_type") == "view", "one_spk").otherwise("two_spk")
+    start = F.col("event_id") % 600
+    length = F.floor(F.col("event_id") / 600) % 20
+    lab = e.select("user_id", label.alias("label"), (start / F.lit(10.0)).alias("start"), ((start + length) / F.lit(10.0)).alias("end"))
+    grid = chunks.grid(e.select("user_id").distinct().withColumn("duration", F.lit(60.0)), KEY, "duration", 0.6, "full")
+    return chunks.sparse_rule(lab, grid, KEY, 0.6, decimals=1)
+
+
 @query(f"""WITH {IV}, {_SECONDS}, hits AS (SELECT user_id, CAST(floor(s / 3600) AS BIGINT) + i AS chunk, s, e FROM src, range(60) r(i))
 SELECT user_id, chunk, CAST(least(count(*), 2) AS INTEGER) AS label FROM hits WHERE s < (chunk + 1) * 3600e0 AND e > chunk * 3600e0 GROUP BY ALL""")
 def chunk_overlap_seconds(spark: SparkSession, sf: str) -> DataFrame:
@@ -806,3 +827,63 @@ def linear_scorer(signals: list[np.ndarray]) -> np.ndarray:
 def batched_scoring(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("label"), F.col("embedding").alias("input_values"))
     return curation.predict(e, linear_scorer, ["vec_id"], least=10)
+
+
+# ---------------------------------------------------------------- long signals in blocks
+
+_SAMPLES = "e AS (SELECT vec_id, len(embedding) AS n, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS k FROM embeddings)"
+_BLOCK = 16
+
+
+def _blocks_of(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.blocks(table(spark, sf, "embeddings"), ["vec_id"], "embedding", _BLOCK)
+
+
+@query(f"""WITH {_SAMPLES}, m AS (SELECT vec_id, unnest(range(CAST(ceil(max(n) * 3 / 2) AS BIGINT))) AS i FROM e GROUP BY vec_id),
+t AS (SELECT vec_id, i, x, i * 2 - k * 3 AS j FROM m JOIN e USING (vec_id) WHERE abs(i * 2 - k * 3) <= 24)
+SELECT vec_id, i, round(sum(x * CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / 3) / (pi() * j / 3) END * 0.5 * (1 + cos(pi() * j / 25))), 6) + 0e0 AS x FROM t GROUP BY vec_id, i""")
+def signal_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals at three halves of their rate, block by block."""
+    out = signals.samples(signals.resample(_blocks_of(spark, sf), ["vec_id"], _BLOCK, 16000, 24000), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"""WITH {_SAMPLES}, m AS (SELECT vec_id, unnest(range(CAST(ceil(max(n) * 2e0 / 3) AS BIGINT))) AS i FROM e GROUP BY vec_id),
+t AS (SELECT vec_id, i, x, i * 3 - k * 2 AS j FROM m JOIN e USING (vec_id) WHERE abs(i * 3 - k * 2) <= 24)
+SELECT vec_id, i, round(sum(x * 2 / 3 * CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / 3) / (pi() * j / 3) END * 0.5 * (1 + cos(pi() * j / 25))), 6) + 0e0 AS x FROM t GROUP BY vec_id, i""")
+def signal_resample_down(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals at two thirds of their rate, block by block."""
+    out = signals.samples(signals.resample(_blocks_of(spark, sf), ["vec_id"], _BLOCK, 24000, 16000), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"""WITH {_SAMPLES}, r AS (SELECT CAST(j AS BIGINT) AS j, pow(0.95e0, j) * cos(0.7e0 * j) AS h FROM range(40) t(j))
+SELECT vec_id, k + j AS i, round(sum(x * h), 6) + 0e0 AS x FROM e, r GROUP BY vec_id, k + j""")
+def signal_reverb(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals convolved with a response of 40 samples, longer than a block."""
+    response = [0.95**j * float(np.cos(0.7 * j)) for j in range(40)]
+    out = signals.samples(signals.reverb(_blocks_of(spark, sf), ["vec_id"], _BLOCK, response), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+def _noise_sql(inside: str = "TRUE") -> str:
+    u = lambda what, part, counter: f"(('0x' || substr(md5('7:{what}:' || {counter}), {8 * part + 1}, 8))::BIGINT / 4294967296e0)"
+    at = "vec_id || ':' || k"
+    place = u("place", 0, "vec_id || ':' || k // 20")
+    return f"""WITH {_SAMPLES}, z AS (SELECT vec_id, k, x, CASE WHEN {inside.format(start=f"CAST(floor({place} * 16) AS BIGINT)")} THEN sqrt(-2 * ln(1 - {u("noise", 0, at)})) * cos(2 * pi() * {u("noise", 1, at)}) ELSE 0 END AS z FROM e),
+g AS (SELECT vec_id, CASE WHEN sum(x * x) > 0 AND sum(z * z) > 0 THEN sqrt(sum(x * x) / (sum(z * z) * 10)) ELSE 0 END AS g FROM z GROUP BY vec_id)
+SELECT vec_id, k AS i, round(x + z * g, 6) + 0e0 AS x FROM z JOIN g USING (vec_id)"""
+
+
+@query(_noise_sql())
+def signal_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals with Gaussian noise 10 dB below them."""
+    out = signals.samples(signals.add_noise(_blocks_of(spark, sf), ["vec_id"], 10.0, 7), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(_noise_sql("k % 20 >= {start} AND k % 20 < {start} + 5"))
+def signal_short_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals with noise 10 dB below them, in five of every twenty samples."""
+    out = signals.samples(signals.add_noise(_blocks_of(spark, sf), ["vec_id"], 10.0, 7, 20, 5), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
