@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 from fractions import Fraction
 from itertools import islice
@@ -216,7 +217,7 @@ def test_mix(spark, sf, monkeypatch):
     end = min(max(i for i, s in enumerate(order) if s == x) for x in set(order)) + 1
     assert greatest_deviation(order[:end], {"a": 0.5, "b": 0.25, "None": 0.25}) < 1
     assert {(r.source, r.target_weight) for r in got} == set(weights.items())
-    assert max(r.slot for r in pfair.mix(docs, weights, block_rows=5, slots=20).collect()) < 23
+    assert max(r.place for r in pfair.mix(docs, weights, block_rows=5).collect()) == 4  # blocks don't grow with the table
     assert pfair.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pfair.mix(docs, {"a": 0.0})
@@ -271,3 +272,24 @@ def test_pipeline(spark, sf):
 
 def test_line_query_matches_sql(spark, sf):
     compare(spark, sf, queries.op3_line_dedup, queries.oracle_sql()["op3_line_dedup"])
+
+
+def test_labels_meet_one_document_each(spark, monkeypatch):
+    seen = []
+    plain = ordinal.fit
+    monkeypatch.setattr(ordinal, "fit", lambda x, *more: seen.append(len(x)) or plain(x, *more))
+    docs = spark.range(3000).selectExpr("7L as doc_id", "concat('word ', id) as text").unionByName(spark.range(40).selectExpr("100 + id as doc_id", "concat('good ', id) as text"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), *[(100 + i, i % 2) for i in range(40)]], "doc_id long, quality int")
+    ordinal.train(docs, labels, "quality", "forms", sample=10)
+    ordinal.train(docs, labels, "quality", "forms")
+    assert seen == [10, 42]
+
+
+def test_many_sources_keep_their_shares():
+    blocks = {f"s{i}": 1 + i % 7 for i in range(3000)}
+    weights = pfair.default_weights(blocks)
+    began = time.time()
+    dealt = list(pfair.schedule(blocks, weights))
+    assert time.time() - began < 20
+    assert sorted((s, b) for s, b, _ in dealt) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    assert [slot for _, _, slot in dealt] == list(range(len(dealt)))

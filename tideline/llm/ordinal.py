@@ -214,11 +214,16 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, kind: str, grades: list[float
 
 
 def train(docs: DataFrame, labels: DataFrame, rating: str, kind: str, sample: int = 12_000) -> Ordinal:
-    """Fit on at most `sample` labelled rows; their features are found where the texts are."""
+    """Fit on at most `sample` labelled rows; their features are found where the texts are.
+
+    A label meets one document: of those that share its doc_id, that with the greatest text.
+    """
     small_batches(docs.sparkSession)
     rated = only(labels, "doc_id", rating).filter(F.col(f"`{rating}`").isNotNull() & F.col("doc_id").isNotNull())
     chosen = rated.select("doc_id", F.col(f"`{rating}`").cast("double").alias("rating")).orderBy(F.xxhash64("doc_id"), "doc_id", "rating").limit(sample)
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rating", "text")
+    held = only(docs, "doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = held.groupBy("doc_id").agg(F.max("text").alias("text"))  # copies meet within their partitions first
+    rows = one.join(F.broadcast(chosen), "doc_id").select("rating", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -14,9 +14,10 @@ the weights of the sources left.
 
 The schedule follows from the numbers of blocks alone. It is the one step that
 runs in one place, in pieces that are written to the shared folder; the rows meet
-it by (source, block). It has `slots` slots at most (and one more a source): a
-table of more than block_rows * slots rows gets larger blocks. Up to SOURCES
-sources can be mixed; more are an error.
+it by (source, block). Its memory is bounded by the sources and a piece; its time
+follows the number of blocks, so a caller with a very large table may choose
+larger ones. Blocks are of `block_rows` rows whatever the size of the table. Up to
+SOURCES sources can be mixed; more are an error.
 
 Defined cases: a null source is a source of its own; sources without a weight
 get the least weight given; weights must be positive; an empty table gives an
@@ -54,9 +55,9 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tupl
     """source, block and slot of every block, slot by slot: the released block that is due first."""
     left = {s: n for s, n in blocks.items() if n}
     done, at = dict.fromkeys(left, 0), 0
+    whole = whole_weights({s: weights[s] for s in left})
+    total = sum(whole.values())
     while left:
-        whole = whole_weights({s: weights[s] for s in left})
-        total = sum(whole.values())
         waiting = [(0, s, 0) for s in sorted(left)]  # release, source, block of the phase
         ready: list[tuple[int, str, int]] = []  # deadline, source, block
         dealt, slot, open_ = dict.fromkeys(left, 0), 0, True
@@ -74,7 +75,9 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tupl
         for s, n in dealt.items():
             done[s] += n
             left[s] -= n
-        left = {s: n for s, n in left.items() if n}
+            if not left[s]:
+                total -= whole[s]
+                del left[s]
 
 
 def default_weights(counts: dict[str, int]) -> dict[str, float]:
@@ -82,7 +85,7 @@ def default_weights(counts: dict[str, int]) -> dict[str, float]:
     return {s: float(n) ** 0.5 for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, slots: int = 1 << 24, bucket_rows: int = 65_536, least_buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, bucket_rows: int = 65_536, least_buckets: int = 1024) -> DataFrame:
     """docs, every row once, with `slot`, `block` (of its source), `place` in the block and `target_weight`.
 
     Ordered by (slot, place) the rows are the mix. Ranks within a source come
@@ -102,7 +105,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     if any(w <= 0 for w in given.values()):
         raise ValueError("target weights must be positive")
     rows_in_all = sum(counts.values())
-    block_rows = max(block_rows, -(-rows_in_all // slots))
     plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, given)
     path, total, columns = shared_dir(spark), sum(given.values()), [src, block, slot]
     kind = f"`{src}` string, `{block}` long, `{slot}` long, `{weight}` double"
