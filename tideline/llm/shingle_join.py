@@ -148,15 +148,15 @@ def rooted(rows: DataFrame, of: DataFrame) -> DataFrame:
     return rows.join(of.hint("merge"), "_key", "left").withColumn("_root", F.coalesce("_root", "_key"))
 
 
-def with_both(pairs: DataFrame, table: DataFrame, value: str, steps: Steps) -> DataFrame:
-    """The settled pairs u, v with the value of each in the table (_key, value), as u_value and v_value.
+def joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of a table of one row a key; a sort-merge join, in which Spark splits keys that many rows have."""
+    return rows.join(table.hint("merge"), keys)
 
-    A text that is in any part of the pairs is looked up in as many tasks as it needs.
-    """
-    for end, other in (("v", "u"), ("u", "v")):
-        times = pairs.groupBy(F.col(end).alias("_key")).agg(F.count("*").alias("times"))
-        held = table.select("_key", F.col(value).alias(f"{end}_value")).join(times.hint("merge"), "_key").withColumnRenamed("_key", end)
-        pairs = look_up(pairs, steps.settle(held), [end], "times", [other])
+
+def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The pairs u, v with the value of each in the table (_key, value), as u_value and v_value."""
+    for end in ("v", "u"):
+        pairs = joined(pairs, table.select(F.col("_key").alias(end), F.col(value).alias(f"{end}_value")), [end])
     return pairs
 
 
@@ -168,21 +168,21 @@ def centres(met: DataFrame, steps: Steps) -> DataFrame:
     """
     home = met.select(F.element_at("x", -1).alias("h"), F.col("_key").alias("u"), "n", "fame")
     best = F.max(F.struct("fame", F.col("_key").alias("v"), F.col("n").alias("m"))).alias("c")
-    size = steps.settle(home.groupBy("h").agg(F.count("*").alias("times"), F.max(F.struct("fame", F.col("u").alias("v"), F.col("n").alias("m"))).alias("c")).filter("times > 1"))
+    size = home.groupBy("h").agg(F.count("*").alias("times"), F.max(F.struct("fame", F.col("u").alias("v"), F.col("n").alias("m"))).alias("c")).filter("times > 1")
+    size = steps.settle(size.select("h", "c"))
     top = met.join(size.select(F.col("c.v").alias("_key")).hint("merge"), "_key", "left_semi")
     top = steps.settle(top.select("_key", "n", "fame", F.explode(F.slice(F.reverse("x"), 1, TOP)).alias("g")))
-    by_gram = steps.settle(top.groupBy("g").agg(best, F.count("*").alias("times")))
-    above = look_up(top.select("_key", "g"), by_gram, ["g"], "times", ["_key"]).groupBy(F.col("_key").alias("v")).agg(F.max("c").alias("cc"))
-    size = steps.settle(size.withColumn("v", F.col("c.v")).join(above.hint("merge"), "v").select("h", "times", "c", "cc"))
+    above = joined(top.select("_key", "g"), top.groupBy("g").agg(best), ["g"]).groupBy(F.col("_key").alias("v")).agg(F.max("c").alias("cc"))
+    size = size.withColumn("v", F.col("c.v")).join(above.hint("merge"), "v").select("h", "c", "cc")
     both = F.explode(F.array(F.struct(F.lit(0).alias("near"), F.col("cc.v").alias("v"), F.col("cc.m").alias("m")), F.struct(F.lit(1).alias("near"), F.col("c.v").alias("v"), F.col("c.m").alias("m"))))
-    return look_up(home, size, ["h"], "times", ["u"]).select("u", "n", both.alias("y")).select("u", "n", "y.*")
+    return joined(home, size, ["h"]).select("u", "n", both.alias("y")).select("u", "n", "y.*")
 
 
 def listed(lists: DataFrame, met: DataFrame, steps: Steps) -> DataFrame:
     """u, n, v, m, near: the texts of each list (h, _key) beside its most famous one (near = 2)."""
     lists = steps.settle(lists.join(met.select("_key", "n", "fame").hint("merge"), "_key"))
-    size = steps.settle(lists.groupBy("h").agg(F.count("*").alias("times"), F.max(F.struct("fame", F.col("_key").alias("v"), F.col("n").alias("m"))).alias("c")).filter("times > 1"))
-    return look_up(lists, size, ["h"], "times", ["_key"]).select(F.col("_key").alias("u"), "n", "c.v", "c.m", F.lit(2).alias("near"))
+    size = lists.groupBy("h").agg(F.count("*").alias("times"), F.max(F.struct("fame", F.col("_key").alias("v"), F.col("n").alias("m"))).alias("c")).filter("times > 1")
+    return joined(lists, size.select("h", "c"), ["h"]).select(F.col("_key").alias("u"), "n", "c.v", "c.m", F.lit(2).alias("near"))
 
 
 def stars(pairs: DataFrame, sets: DataFrame, rule: Rule, steps: Steps) -> DataFrame:
@@ -192,7 +192,7 @@ def stars(pairs: DataFrame, sets: DataFrame, rule: Rule, steps: Steps) -> DataFr
     """
     half = F.least("n", "m") * 2 >= F.greatest("n", "m")
     pairs = steps.settle(pairs.filter((F.col("u") != F.col("v")) & half).groupBy("u", "v", "n", "m").agg(F.min("near").alias("near")))
-    both = with_both(pairs, sets, "_set", steps).withColumn("apart", F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("u_value", "v_value")))
+    both = with_both(pairs, sets, "_set").withColumn("apart", F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("u_value", "v_value")))
     differ = F.concat(F.array_except("u_value", "v_value"), F.array_except("v_value", "u_value"))
     orbits = (F.col("near") < 2) & (F.col("apart") * 3 <= F.col("n") + F.col("m"))
     linked = rule.close(F.col("apart"), F.col("n"), F.col("m"))
@@ -223,12 +223,11 @@ def prefixes(rows: DataFrame, keys: list[str], kept: list[str], needed: Column,
     return steps.settle(some.select(*keys, *kept, F.explode(place).alias("y")).select(*keys, "y.h", *kept, "y.rest", "y.tail"))
 
 
-def several(lists: DataFrame, keys: list[str], of: DataFrame, steps: Steps) -> DataFrame:
+def several(lists: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
     """The rows, with _root and the length `times` of their list, of the lists that several roots and several groups hold."""
     rows = rooted(lists, of)
     size = rows.groupBy(*keys).agg(F.count("*").alias("many"), *[f(c).alias(f"{c}{i}") for c in ("_root", "_group") for i, f in enumerate((F.min, F.max))])
-    size = steps.settle(size.filter("_root0 <> _root1 and _group0 <> _group1").select(*keys, F.col("many").alias("times"), "many"))
-    return look_up(rows, size, keys, "many", ["_key"])
+    return joined(rows, size.filter("_root0 <> _root1 and _group0 <> _group1").select(*keys, F.col("many").alias("times")), keys)
 
 
 def fits(a: str, b: str, needed, rule: Rule) -> Column:
@@ -269,20 +268,19 @@ def within_orbits(star: DataFrame, found: DataFrame, of: DataFrame, rule: Rule,
 
     def compared(pairs: DataFrame) -> DataFrame:
         """Of the settled pairs (of one orbit) those that link."""
-        both = with_both(pairs, orbit.withColumn("value", F.struct("n", "apart", "differ")), "value", steps)
+        both = with_both(pairs, orbit.withColumn("value", F.struct("n", "apart", "differ")), "value")
         apart = F.col("u_value.apart") + F.col("v_value.apart") - 2 * F.size(F.array_intersect("u_value.differ", "v_value.differ"))
         return steps.settle(both.filter(rule.close(apart, F.col("u_value.n"), F.col("v_value.n"))).select("u", "v"))
 
-    held = several(lists, keys, of, steps)
-    size = held.groupBy(*keys).agg(F.min(F.struct("apart", "_key", "_group", "n", "_root", "rest", "tail")).alias("z"), F.count("*").alias("times"))
-    met = look_up(held.drop("times"), steps.settle(size), keys, "times", ["_key"])
+    held = several(lists, keys, of).drop("times")
+    met = joined(held, held.groupBy(*keys).agg(F.min(F.struct("apart", "_key", "_group", "n", "_root", "rest", "tail")).alias("z")), keys)
     met = met.select(F.struct(*[c for c in met.columns if c != "z"]).alias("y"), "z").filter((F.col("y._key") != F.col("z._key")) & fits("y", "z", enough, rule))
     tried = steps.settle(unordered(met.select(F.col("y._key").alias("u"), F.col("z._key").alias("v"))).distinct())
     if tried.isEmpty():
         return found, of
     found = steps.settle(found.unionByName(compared(tried)))
     of = components(found, steps)
-    rest = meet(several(lists, keys, of, steps), keys, enough, rule)
+    rest = meet(several(lists, keys, of), keys, enough, rule)
     rest = steps.settle(rest.join(tried.hint("merge"), ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return found, of
@@ -297,11 +295,11 @@ def across(met: DataFrame, star: DataFrame, sets: DataFrame, found: DataFrame, o
     grouped = met.join(group.groupBy("_key").agg(F.min("_group").alias("_group")).hint("merge"), "_key", "left").withColumn("_group", F.coalesce("_group", "_key"))
     rows = rooted(grouped.select("_key", "_group", "n", F.explode("x").alias("h")), of)
     lists = prefixes(rows, [], ["_key", "_group", "n"], rule.own(F.col("n")), steps)
-    pairs = meet(several(lists, ["h"], of, steps), ["h"], lambda common, a, b: rule.enough(common, F.col(f"{a}.n"), F.col(f"{b}.n")), rule)
+    pairs = meet(several(lists, ["h"], of), ["h"], lambda common, a, b: rule.enough(common, F.col(f"{a}.n"), F.col(f"{b}.n")), rule)
     pairs = steps.settle(pairs.join(unordered(star).distinct().hint("merge"), ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return of
-    both = with_both(pairs, sets.withColumn("value", F.col("_set")), "value", steps)
+    both = with_both(pairs, sets.withColumn("value", F.col("_set")), "value")
     common = F.size(F.array_intersect("u_value", "v_value"))
     links = both.filter(rule.enough(common, F.size("u_value"), F.size("v_value"))).select("u", "v")
     return components(steps.settle(found.unionByName(links)), steps)
