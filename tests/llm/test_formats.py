@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import time
 import zlib
 
 import numpy as np
@@ -157,9 +158,26 @@ def test_blocks():
     assert texts("<head><title>t</title><style>p{}</style><script>var a='</p>'</script></head><p>a &amp; b&copy;&#233;<br>c <b>d</b>\n\te</p>") == ["a & b©é c d e"]
     assert texts("<p>one<p><b>two<br><p>three</p><!-- no <p> -->tail<p class='x") == ["one", "two", "three", "tail"]
     assert texts("a < b and c > d <p title=\"x>y\">z") == ["a < b and c > d", "z"]
-    path = hb.blocks_of('<main><div class="comment-list"><ul><li>x<li>y</ul></div></main>')[1].path
-    assert path == ("main", "div comment list", "ul", "li")
-    assert not hb.named_label(path) and hb.named_label(("body", "article", "p")) and not hb.named_label(("body", "p"))
+    reply = hb.blocks_of('<main><div class="comment-list" data-id="sidebar"><ul><li>x<li>y</ul></div></main>')[1]
+    assert reply.within.path() == ("main", "div comment list", "ul", "li")
+    named = lambda html: [hb.named_label(b) for b in hb.blocks_of(html)]
+    assert not hb.named_label(reply)
+    assert named("a<body>b<p>c<article><header>d</header><p>e<nav>f</nav>g</article>h") == [False, False, False, False, True, False, True, False]
+    assert named("<header><article>a</article></header><div class='content wide'>b<div data-id=sidebar>c</div></div>") == [True, True, True]
+
+
+def test_deep_pages_take_time_by_their_size():
+    n = 100_000
+    begin = time.process_time()
+    page = hb.blocks_of("<div id=d>x" * n + "</p></section>" * n)
+    vectors = hb.Vectors().of([page])
+    assert time.process_time() - begin < 60  # minutes for a tenth of it, if every block looked at all elements around it
+    assert len(page) == n == len(vectors)
+    shallow = hb.Vectors().of([hb.blocks_of("<div id=d>x" * 5)])
+    assert (vectors[:5, : hb.PATH] == shallow[:, : hb.PATH]).all()
+    jump = hb.blocks_of("<div>" * 5000 + "a" + "</div>" * 4999 + "b" + "<p>c")
+    assert [len(b.within.path()) for b in jump] == [5000, 1, 2]
+    assert (hb.Vectors().of([jump])[1:, : hb.PATH] == hb.Vectors().of([hb.blocks_of("<div>b<p>c")])[:, : hb.PATH]).all()
 
 
 def test_raw_elements_take_nothing_else():
@@ -175,7 +193,8 @@ def test_raw_elements_take_nothing_else():
 def test_long_pages_are_read_in_stretches(monkeypatch):
     rng = np.random.default_rng(2)
     model, vectors = hb.Lstm(3), hb.Vectors()
-    page = [hb.Block(("div", f"p c{rng.integers(9)}"), "word " * int(rng.integers(1, 30)), 0.0) for _ in range(700)]
+    div = hb.Element(None, "div", (), 0)
+    page = [hb.Block(hb.Element(div, "p", (f"c{rng.integers(9)}",), 0), "word " * int(rng.integers(1, 30)), 0.0) for _ in range(700)]
     model.p["oc"] = model.p["oc"] - np.median(model.logits(vectors.of([page])[:, None], np.ones((len(page), 1), bool)))
     whole = model.label([vectors.of([page])])[0]
     monkeypatch.setattr(hb, "GROUP_BLOCKS", 100)
@@ -242,7 +261,7 @@ def test_main_text(spark, sf):
     model = hb.train(pages)
     rows = pages.collect()
     got = {r.page_id: r for r in hb.main_text(pages, model).collect()}
-    want = {r.page_id: "\n".join(b.text for b in hb.blocks_of(r.html) if hb.named_label(b.path)) for r in rows}
+    want = {r.page_id: "\n".join(b.text for b in hb.blocks_of(r.html) if hb.named_label(b)) for r in rows}
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values())
     rng, pool, vectors, right, total = np.random.default_rng(123), [t for r in rows for t in texts(r.html)], hb.Vectors(), 0, 0

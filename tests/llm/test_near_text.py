@@ -5,7 +5,7 @@ import math
 import random
 import time
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -197,6 +197,24 @@ def test_next_document_beyond_the_cuts(spark):
     assert len(seen) == len(rows) and at == texts[0]
 
 
+def test_next_document_where_many_share_an_id(spark):
+    """A third of all rows have one doc_id; they fill blocks of their own, in the order of their texts' hashes."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(700, f"same {i}") for i in range(1000)]
+    for most in (16384, 16):
+        got = simhash.with_next(docs_of(spark, rows), 16, most).collect()
+        assert max(Counter(r._block for r in got).values()) < 100
+        by = {r.text: r.next_text for r in got}
+        ids = {t: i for i, t in rows}
+        at, ring = "text 1999", []
+        for _ in rows:
+            ring.append(at)
+            at = by[at]
+        assert at == "text 1999" and len(set(ring)) == len(rows)
+        assert [ids[t] for t in ring] == sorted((i for i, _ in rows), reverse=True)
+        same = [t for t in ring if ids[t] == 700]
+        assert same == sorted(same, key=lambda t: xxhash.xxh64_intdigest(t, 42) ^ 1 << 63)
+
+
 def test_edited_fingerprints_of_few_rows(spark):
     assert simhash.edited_fingerprints(docs_of(spark, []).limit(0)).count() == 0
     out = simhash.edited_fingerprints(docs_of(spark, [(1, "abc"), (1, "abc"), (1, None)])).collect()

@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,29 +54,56 @@ OTHER_WORDS = frozenset(
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w:-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 PATH, WORDS, COUNTS, HIDDEN = 192, 32, 8, 24
 GROUP_BLOCKS = 20_000  # pages are labelled in groups of about so many blocks; a longer page is read in stretches of as many
 
 
+class Element:
+    """An open element of a page, linked to the one around it; all blocks within share it, however deep they lie."""
+
+    __slots__ = ("parent", "tag", "words", "scope", "skipped", "shown", "main", "other")
+
+    def __init__(self, parent: Element | None, tag: str, words: tuple[str, ...], scope: int):
+        self.parent, self.tag, self.words = parent, tag, words
+        self.scope = scope  # place of the innermost element that bounds implied end tags
+        self.skipped = (parent.skipped if parent else 0) + (tag in SKIPPED)  # drawings and the like, from the root down to here
+        self.shown = self if not self.skipped else parent.shown if parent else None  # the innermost element outside them
+        # Whether the names say main text: inside a main part, and in no other part within or around that.
+        self.main, self.other = (parent.main, parent.other) if parent else (False, False)
+        if tag in OTHER_TAGS or OTHER_WORDS.intersection(words):
+            self.other = self.other or self.main or tag != "header"
+        elif tag in MAIN_TAGS or MAIN_WORDS.intersection(words):
+            self.main = True
+
+    def path(self) -> tuple[str, ...]:
+        """ "tag word word" for each element, outermost first."""
+        out, at = [], self
+        while at:
+            out.append(" ".join((at.tag, *at.words)))
+            at = at.parent
+        return tuple(reversed(out))
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # "tag word word" for each open element, outermost first
+    within: Element | None  # the innermost open element
     text: str
     linked: float  # share of the text inside links
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order.
+    """The leaf blocks of a page in order; time and memory are linear in the page, however deep its elements are nested.
 
     What scripts, styles and the other raw elements hold is passed over up to their end tag; without one, a script or
     style goes on to the end of the page, of the others only the tag goes. Drawings, formulas, buttons and the like have
     no blocks either; they are elements like others, so what their parent's end leaves open ends there.
     """
     out: list[Block] = []
-    stack: list[str] = []  # block elements; "tag word word"
-    links = skipped = 0
+    stack: list[Element] = []  # block elements
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    links = 0
     parts: list[str] = []
     in_links = 0
     page = page or ""
@@ -88,19 +116,22 @@ def blocks_of(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = _SPACE.sub(" ", entities.unescape(raw)).strip()
             if text:
-                inner = next((i for i, e in enumerate(stack) if e.partition(" ")[0] in SKIPPED), len(stack))
-                out.append(Block(tuple(stack[:inner]), text, in_links / len(raw)))
+                out.append(Block(stack[-1].shown if stack else None, text, in_links / len(raw)))
             parts.clear()
             in_links = 0
 
     def close(i: int) -> None:
-        nonlocal skipped
-        if not any(e.partition(" ")[0] in SKIPPED for e in stack[: i + 1]):
+        if not stack[i].skipped:
             flush()
-        skipped -= sum(e.partition(" ")[0] in SKIPPED for e in stack[i:])
+        for e in stack[i:]:
+            places[e.tag].pop()
         del stack[i:]
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     while m := _TOKEN.search(page, at):
+        skipped = stack[-1].skipped if stack else 0
         if m.start() > at and not skipped:
             parts.append(page[at : m.start()])
             in_links += (m.start() - at) * (links > 0)
@@ -131,45 +162,32 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag not in SKIPPED and not skipped:
             flush()
             links = 0
+        scope = stack[-1].scope if stack else -1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i].partition(" ")[0]
-                if name == tag:
-                    close(i)
-                    break
-                if tag in SKIPPED and name in SCOPE:
-                    break
+            i = innermost((tag,))
+            if i >= 0 and (tag not in SKIPPED or i > scope):
+                close(i)
             continue
         if closed := CLOSED_BY.get(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i].partition(" ")[0]
-                if name in closed:
-                    close(i)
-                    break
-                if name in SCOPE:
-                    break
-        elif tag not in SKIPPED and stack and stack[-1].partition(" ")[0] == "p":
+            i = innermost(closed)
+            if i > scope:
+                close(i)
+        elif tag not in SKIPPED and stack and stack[-1].tag == "p":
             close(len(stack) - 1)
-        words = " ".join(w for n in _NAMED.finditer(m[3] or "") for w in re.split(r"[^a-z]+", (n[1] or n[2] or n[3] or "").lower()) if w)
-        stack.append(f"{tag} {words}" if words else tag)
-        skipped += tag in SKIPPED
-    if at < len(page) and not skipped:
+        words = tuple(w for n in _NAMED.finditer(m[3] or "") for w in re.split(r"[^a-z]+", (n[1] or n[2] or n[3] or "").lower()) if w)
+        around = stack[-1] if stack else None
+        scope = len(stack) if tag in SCOPE else around.scope if around else -1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(around, tag, words, scope))
+    if at < len(page) and not (stack and stack[-1].skipped):
         parts.append(page[at:])
     flush()
     return out
 
 
-def named_label(path: tuple[str, ...]) -> bool:
-    """Whether a tag path names the block as main text: inside a main part, and no other part within that."""
-    inside = False
-    for element in path:
-        tag, *words = element.split(" ")
-        if tag in OTHER_TAGS or OTHER_WORDS.intersection(words):
-            if inside or tag not in ("header",):
-                return False
-        elif tag in MAIN_TAGS or MAIN_WORDS.intersection(words):
-            inside = True
-    return inside
+def named_label(block: Block) -> bool:
+    """Whether the names around a block say that it is main text."""
+    return bool(block.within and block.within.main and not block.within.other)
 
 
 def _text_hash(x: str) -> int:
@@ -179,25 +197,85 @@ def _text_hash(x: str) -> int:
     return h ^ h >> 29
 
 
+def _add(v: np.ndarray, name: str, sign: int = 1) -> None:
+    h = _text_hash(name)
+    v[h % PATH] += sign if h >> 40 & 1 else -sign
+    v[(h >> 20) % PATH] += sign if h >> 41 & 1 else -sign
+
+
+class OpenPath:
+    """The elements around a place in a page, and the sum of what their tags (each once) and names add."""
+
+    def __init__(self):
+        self.sum = np.zeros(PATH, np.float32)
+        self.open: list[Element] = []
+        self.place: dict[Element | None, int] = {None: -1}
+        self.tags: Counter[str] = Counter()
+
+    def move(self, to: Element | None) -> np.ndarray:
+        """Go to another place; its vector."""
+        new, e = [], to
+        while e not in self.place:
+            new.append(e)
+            e = e.parent
+        while len(self.open) > self.place[e] + 1:
+            self._step(self.open.pop(), -1)
+        for e in reversed(new):
+            self.place[e] = len(self.open)
+            self.open.append(e)
+            self._step(e, 1)
+        row = self.sum.copy()
+        for w in to.words if to else ():
+            _add(row, f"own:{w}")
+        last = [e.tag for e in self.open[-3:]]
+        for n in (1, 2, 3):
+            _add(row, f"end:{'/'.join(last[-n:])}")
+        return row
+
+    def _step(self, e: Element, sign: int) -> None:
+        if sign < 0:
+            del self.place[e]
+        if self.tags[e.tag] == (sign < 0):  # the first to come or the last to go
+            _add(self.sum, f"t:{e.tag}", sign)
+        self.tags[e.tag] += sign
+        for w in e.words:
+            _add(self.sum, f"w:{w}", sign)
+
+
 class Vectors:
-    """Vectors of blocks; tag paths come again and again, so theirs are kept."""
+    """Vectors of blocks. Tag paths come again and again, so theirs are kept, by numbers that stand for whole paths."""
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
-
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        if (v := self.paths.get(path)) is None:
-            v = np.zeros(PATH, np.float32)
-            tags = [e.partition(" ")[0] for e in path]
-            names = [f"t:{t}" for t in set(tags)] + [f"w:{w}" for e in path for w in e.split(" ")[1:]] + [f"own:{w}" for e in path[-1:] for w in e.split(" ")[1:]] + [f"end:{'/'.join(tags[-n:])}" for n in (1, 2, 3)]
-            for name in names:
-                h = _text_hash(name)
-                v[h % PATH] += 1 if h >> 40 & 1 else -1
-                v[(h >> 20) % PATH] += 1 if h >> 41 & 1 else -1
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            self.paths[path] = v
-        return v
+        self.numbers: dict[tuple[int, str, tuple[str, ...]], int] = {}  # number around, tag, words
+        self.rows: dict[int, np.ndarray] = {}
+        self.next = 1
+
+    def paths(self, blocks: list[Block]) -> list[np.ndarray]:
+        """Hashed tags and names of all elements around each block, names of the innermost, the last one to three tags.
+
+        Paths not met before are worked out from the one before them. They come in page order, so an element is entered and left once.
+        """
+        out, here = [], OpenPath()
+        known: dict[Element | None, int] = {None: 0}
+        for block in blocks:
+            e, new = block.within, []
+            while e not in known:
+                new.append(e)
+                e = e.parent
+            number = known[e]
+            for e in reversed(new):
+                key = (number, e.tag, e.words)
+                if (number := self.numbers.get(key, -1)) < 0:
+                    if len(self.numbers) > 20_000:
+                        self.numbers.clear()
+                        self.rows.clear()
+                    number = self.numbers[key] = self.next
+                    self.next += 1
+                known[e] = number
+            if (row := self.rows.get(number)) is None:
+                row = self.rows[number] = here.move(block.within)
+            out.append(row)
+        return out
 
     def of(self, pages: list[list[Block]], stretch: tuple[int, int] | None = None) -> np.ndarray:
         """One row for each block of all pages in order; or for a stretch of the blocks of one page."""
@@ -207,7 +285,7 @@ class Vectors:
         out = np.zeros((len(every), PATH + WORDS + COUNTS), np.float32)
         if not every:
             return out
-        out[:, :PATH] = [self.path(b.path) for b in every]
+        out[:, :PATH] = self.paths(every)
         bins = np.zeros(len(every) * WORDS)
         words = np.zeros(len(every))
         for s in slices(pa.array([b.text for b in every], pa.large_string())):
@@ -424,7 +502,7 @@ def train(pages: DataFrame, sample: int = 400, seed: int = 7) -> Lstm:
     chosen = only(pages, "page_id", "html").filter(F.col("html").isNotNull()).select("page_id", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(sample)
     rows = only(pages, "page_id", "html").join(F.broadcast(chosen), "page_id").filter(F.xxhash64("page_id", "html") == F.col("h")).orderBy("h").limit(sample).collect()
     real = [b for b in (blocks_of(r.html) for r in rows) if b]
-    labels = [np.array([named_label(b.path) for b in page], np.float32) for page in real]
+    labels = [np.array([named_label(b) for b in page], np.float32) for page in real]
     texts = [b.text for page in real for b in page if len(b.text) > 20] or ["Some text."]
     rng = np.random.default_rng(seed)
     for _ in range(3 * max(100, len(real))):

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -182,13 +182,17 @@ def _per_batch(items: DataFrame, share: float, batch_chars: int):
                 matcher.append(Matcher(*shared.value))
             return matcher[0].matches(plain(text)) if text and shared.value[0] else []
 
-        yield found
+        yield found, shared
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance, budget, end_at (in the plain text) for each item found in a text."""
-    out, steps = None, Steps(docs.sparkSession)
-    for found in _per_batch(items, share, batch_chars):
+    parts, steps, used = [], Steps(docs.sparkSession), None
+    for found, shared in _per_batch(items, share, batch_chars):
+        if parts:
+            parts[-1] = steps.settle(parts[-1])
+            used.unpersist()
+        used = shared
 
         def match(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -197,20 +201,23 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: i
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "budget", "end_at"])
 
-        part = only(docs, "doc_id", "text").mapInArrow(match, "doc_id long, item_id long, distance int, budget int, end_at long")
-        out = part if out is None else steps.settle(out).unionByName(steps.settle(part))
-    return out
+        parts.append(only(docs, "doc_id", "text").mapInArrow(match, "doc_id long, item_id long, distance int, budget int, end_at long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, batch_chars: int = 4_000_000) -> DataFrame:
     """The documents, all columns, in which no test item is found; no shuffle."""
-    at, steps, first = docs.columns.index("text"), Steps(docs.sparkSession), True
-    for found in _per_batch(items, share, batch_chars):
+    at, steps, used = docs.columns.index("text"), Steps(docs.sparkSession), None
+    for found, shared in _per_batch(items, share, batch_chars):
+        if used is not None:  # what the batches so far leave is written, in place of what those before them left
+            docs = steps.settle(docs)
+            steps.done(docs)
+            used.unpersist()
+        used = shared
 
         def clean(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not found(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = (docs if first else steps.settle(docs)).mapInArrow(clean, docs.schema)
-        first = False
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs

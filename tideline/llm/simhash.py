@@ -140,7 +140,9 @@ def with_next(docs: DataFrame, block_rows: int = 512, most_cuts: int = 16384) ->
     Rows go to blocks of about `block_rows` rows by quantiles of doc_id (`most_cuts`
     at most; beyond that many blocks, the range between two quantiles is cut evenly),
     so no window spans the table; only a block's head is looked up across blocks.
-    Rows without doc_id come last and are dealt to blocks by the hash of their text.
+    The rows of a doc_id that fills blocks, and rows without doc_id, which come last,
+    are dealt to blocks by the hash of their text. Only rows that repeat each other
+    in full, or share a doc_id of less than 1 in `most_cuts` rows, stay in one block.
     Columns: _block and _rn (the row's place), doc_id, text, next_text, next_block, next_rn.
     Rows with one doc_id follow each other by the hash of their text.
     """
@@ -155,19 +157,26 @@ def with_next(docs: DataFrame, block_rows: int = 512, most_cuts: int = 16384) ->
     cuts = [*cuts, *[high] * (side**2 - len(cuts))]
     rows = [cuts[i * side : (i + 1) * side] for i in range(side)]
     outer = F.array(*[F.lit(r[-1]) for r in rows[:-1]])
-    inner = F.array(*[F.array(*[F.lit(x) for x in r[:-1]]) for r in rows])
+    nested = lambda table: F.array(*[F.array(*[F.lit(x) for x in r]) for r in table])
+    inner = nested([r[:-1] for r in rows])
     below = lambda cut: F.size(F.filter(cut, lambda x: x < F.col("doc_id")))
-    placed = docs.withColumn("_i", below(outer))
-    block = F.col("_i") * side + below(F.get(inner, F.col("_i")))
+    placed = docs.withColumn("_i", below(outer)).withColumn("_j", below(F.get(inner, F.col("_i"))))
+    here = F.col("_i") * side + F.col("_j")
+    block = here
     if parts > 1:
-        ends = F.array(*[F.array(*[F.lit(float(x)) for x in [rows[i - 1][-1] if i else low, *r]]) for i, r in enumerate(rows)])
-        placed = placed.withColumn("_e", F.get(ends, F.col("_i"))).withColumn("_j", below(F.get(inner, F.col("_i"))))
+        ends = nested([[float(x) for x in [rows[i - 1][-1] if i else low, *r]] for i, r in enumerate(rows)])
+        placed = placed.withColumn("_e", F.get(ends, F.col("_i")))
         begin, end = F.get("_e", F.col("_j")), F.get("_e", F.col("_j") + 1)
         even = F.floor(F.coalesce(F.try_divide(F.col("doc_id").cast("double") - begin, end - begin), F.lit(0.0)) * parts)
-        block = (F.col("_i") * side + F.col("_j")) * parts + F.greatest(F.least(even, F.lit(parts - 1)), F.lit(0))
+        block = here * parts + F.greatest(F.least(even, F.lit(parts - 1)), F.lit(0))
     bits = max(0, min(20, (wanted - 1).bit_length()))
-    hashed = -1 - F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(-1).cast("long")
-    placed = placed.withColumn("_block", F.when(F.col("doc_id").isNull(), hashed).otherwise(block)).select("_block", "doc_id", "text")
+    hashed = F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63))), 64 - bits) if bits else F.lit(0).cast("long")
+    # An id that is two quantiles fills blocks of its own: it is the largest in its block, and its rows are cut by their hash.
+    filling = [[cuts[k] == cuts[min(k + 1, side**2 - 1)] and k < side**2 - 1 or parts > 1 for k in range(i * side, (i + 1) * side)] for i in range(side)]
+    at = lambda table: F.get(F.get(nested(table), F.col("_i")), F.col("_j"))
+    within = F.when(at(filling) & (F.col("doc_id") == at(rows)), F.lit(2**bits) - hashed).otherwise(F.lit(0).cast("long"))
+    number = F.when(F.col("doc_id").isNull(), -1 - hashed).otherwise(block.cast("long") * (2**bits + 1) + within)
+    placed = placed.withColumn("_block", number).select("_block", "doc_id", "text")
     order = Window.partitionBy("_block").orderBy(F.col("doc_id").desc(), F.xxhash64("text"))
     run = placed.select("_block", "doc_id", "text", F.row_number().over(order).alias("_rn"), F.lead("text").over(order).alias("_lead"))
     heads = run.filter("_rn = 1").select(F.col("_block").alias("_hb"), F.col("text").alias("_head"))
