@@ -18,6 +18,7 @@ from tideline.functions import arrays, text
 from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, training
 from tideline.operators.steps import settle
 from tideline.sources import text as annotations
+from tideline.streaming import state
 
 US = 1_000_000
 CHUNK = 6 * 3600 * US
@@ -838,6 +839,47 @@ def early_stopped_training(spark: SparkSession, sf: str) -> DataFrame:
     return guessed.select("vec_id", "label", "held", "predicted_label", F.lit(model.best_epoch).alias("best_epoch"))
 
 
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as one stream: user_id, source, start, end."""
+    path = f"{sf}/events.parquet"
+    ts = F.col("ts").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 60e6).cast("bigint"))
+    # As a pattern, as a stream takes a single file by a pattern only.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{{events}}.parquet")
+    return events.select("user_id", F.col("event_type").alias("source"), ts.alias("start"), end.alias("end"))
+
+
+#: What the watermark reaches when all events have come: an hour less than their latest start, in whole milliseconds.
+_MARK = "mark AS (SELECT (max(s) // 1000 - 3600000) * 1000 AS mark FROM iv)"
+
+
+@query(f"WITH {IV}, {islands('m', 'user_id', 'iv')}, {_MARK} SELECT user_id, s AS start_us, e AS end_us FROM m, mark WHERE e <= mark")
+def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The union of each user's intervals as a stream gives it, up to the watermark."""
+    out = state.drained(state.merged(_stream(spark, sf), KEY, "1 hour"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+
+
+@query(
+    f"""WITH {IV}, {_MARK},
+part AS (SELECT user_id, source, c, greatest(s, c * {CHUNK}) AS s, least(e, (c + 1) * {CHUNK}) AS e FROM (SELECT *, unnest(range(s // {CHUNK}, (e - 1) // {CHUNK} + 1)) AS c FROM iv)),
+{islands('solid', 'user_id, c, source', 'part')},
+pts AS (SELECT user_id, c, s AS t FROM solid UNION SELECT user_id, c, e FROM solid UNION SELECT user_id, c, c * {CHUNK} FROM solid UNION SELECT user_id, c, (c + 1) * {CHUNK} FROM solid),
+el AS (SELECT user_id, c, t AS s, lead(t) OVER (PARTITION BY user_id, c ORDER BY t) AS e FROM pts),
+cnt AS (SELECT el.user_id, el.c, el.s, el.e, least(count(solid.s), 2) AS n FROM el LEFT JOIN solid ON solid.user_id = el.user_id AND solid.c = el.c AND solid.s <= el.s AND solid.e >= el.e
+  WHERE el.e IS NOT NULL GROUP BY ALL),
+tot AS (SELECT user_id, c, n, sum(e - s) AS t FROM cnt GROUP BY ALL),
+best AS (SELECT user_id, c, min(n) AS n, count(*) AS tied FROM (SELECT *, max(t) OVER (PARTITION BY user_id, c) AS top FROM tot) WHERE t = top GROUP BY ALL)
+SELECT user_id, CAST(c AS BIGINT) AS chunk, ['non_speech', 'one_spk', 'two_spk'][n + 1] AS label, CAST(tied AS INTEGER) AS n_tied FROM best, mark WHERE (c + 1) * {CHUNK} <= mark"""
+)
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of each user's chunks as a stream gives it, up to the watermark."""
+    return state.drained(state.classed_chunks(_stream(spark, sf), KEY, "source", CHUNK, 2, "1 hour"))
+
+
 # ---------------------------------------------------------------- long signals in blocks
 
 _SAMPLES = "e AS (SELECT vec_id, len(embedding) AS n, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS k FROM embeddings)"
