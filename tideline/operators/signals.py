@@ -119,10 +119,15 @@ def reverb(cut: DataFrame, keys: list[str], size: int, response: list[float]) ->
                             index.append(i), block.append(b + p + q), of.append(b), out.append(part)
             yield pd.DataFrame({**{k: f[k].loc[index].to_numpy() for k in keys}, "block": block, "of": of, "x": out})
 
-    parts = cut.select(*keys, "block", "x").mapInPandas(run, schema).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("of", "x"))).alias("parts"))
+    return added(cut.select(*keys, "block", "x").mapInPandas(run, schema), keys, size)
+
+
+def added(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, block, first, x: the sums of the parts (keys, block, of, x) of each output block, in the order of their origin `of`."""
+    met = parts.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("of", "x"))).alias("parts"))
     add = lambda a, b: F.zip_with(a, b, lambda s, t: F.coalesce(s, F.lit(0.0)) + F.coalesce(t, F.lit(0.0)))
     total = F.aggregate("parts", F.array().cast("array<double>"), lambda acc, p: add(acc, p["x"]))
-    return parts.select(*keys, "block", (F.col("block") * size).alias("first"), total.alias("x"))
+    return met.select(*keys, "block", (F.col("block") * size).alias("first"), total.alias("x"))
 
 
 def uniform(seed: int, what: str, part: int, *counter: Column) -> Column:

@@ -9,13 +9,14 @@ query runs over its whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import arrays, text
-from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, training
+from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, stretch, training
 from tideline.operators.steps import settle
 from tideline.sources import text as annotations
 from tideline.streaming import state
@@ -938,3 +939,35 @@ def signal_short_noise(spark: SparkSession, sf: str) -> DataFrame:
     """Signals with noise 10 dB below them, in five of every twenty samples."""
     out = signals.samples(signals.add_noise(_blocks_of(spark, sf), ["vec_id"], 10.0, 7, 20, 5), ["vec_id"])
     return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+def _stretched_sql(n: int, d: int) -> str:
+    """CTEs up to st (vec_id, i, x): the samples at speed n / d by frames of 16 samples, 4 apart, with Fourier sums written out."""
+    window = "(0.5e0 - 0.5e0 * cos(2 * pi() * j / 16))"
+    return f"""{_SAMPLES}, len AS (SELECT vec_id, max(n) AS n, CAST(ceil(max(n) * {d}e0 / {n}) AS BIGINT) AS m FROM e GROUP BY vec_id),
+bins AS (SELECT CAST(b AS BIGINT) AS b FROM range(9) t(b)), js AS (SELECT CAST(j AS BIGINT) AS j, {window} AS w FROM range(16) t(j)),
+near AS (SELECT vec_id, x, k, unnest(range(greatest(0, (k - 4) // 4), (k + 8) // 4 + 1)) AS q FROM e),
+sums AS (SELECT vec_id, q, b, sum(x * w * cos(2 * pi() * b * j / 16)) AS re, -sum(x * w * sin(2 * pi() * b * j / 16)) AS im FROM near JOIN js ON j = k - 4 * q + 8, bins GROUP BY vec_id, q, b),
+spec AS (SELECT vec_id, q, b, sqrt(re * re + im * im) AS mag, atan2(im, re) AS ang FROM sums),
+fr AS (SELECT vec_id, unnest(range((m - 1 + 8) // 4 + 1)) AS t FROM len),
+two AS (SELECT fr.vec_id, t, bins.b, (t * {n} % {d}) / {d}e0 AS past, coalesce(a.mag, 0) AS m0, coalesce(z.mag, 0) AS m1, coalesce(a.ang, 0) AS a0, coalesce(z.ang, 0) AS a1 FROM fr JOIN bins ON TRUE
+  LEFT JOIN spec a ON a.vec_id = fr.vec_id AND a.q = t * {n} // {d} AND a.b = bins.b LEFT JOIN spec z ON z.vec_id = fr.vec_id AND z.q = t * {n} // {d} + 1 AND z.b = bins.b),
+ph AS (SELECT vec_id, t, b, (1 - past) * m0 + past * m1 AS mag, first_value(a0) OVER o + sum(a1 - a0) OVER o - (a1 - a0) AS phase FROM two WINDOW o AS (PARTITION BY vec_id, b ORDER BY t)),
+y AS (SELECT vec_id, 4 * t - 8 + j AS i, w, w * sum(CASE WHEN b IN (0, 8) THEN 1 ELSE 2 END * mag * cos(phase + 2 * pi() * b * j / 16)) / 16 AS y FROM ph, js GROUP BY vec_id, t, j, w),
+st AS (SELECT vec_id, i, sum(y) / sum(w * w) AS x FROM y JOIN len USING (vec_id) WHERE i >= 0 AND i < m GROUP BY vec_id, i)"""
+
+
+@query(f"WITH {_stretched_sql(3, 2)} SELECT vec_id, i, round(x, 6) + 0e0 AS x FROM st")
+def signal_stretch(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals at three halves of their speed, with the pitch as it was."""
+    out = signals.samples(stretch.stretch(_blocks_of(spark, sf), ["vec_id"], _BLOCK, Fraction(3, 2), 16), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(f"""WITH {_stretched_sql(2, 3)}, back AS (SELECT vec_id, unnest(range(n)) AS i FROM len),
+t AS (SELECT vec_id, back.i, x, back.i * 3 - st.i * 2 AS j FROM back JOIN st USING (vec_id) WHERE abs(back.i * 3 - st.i * 2) <= 24)
+SELECT vec_id, i, round(sum(x * 2 / 3 * CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / 3) / (pi() * j / 3) END * 0.5 * (1 + cos(pi() * j / 25))), 6) + 0e0 AS x FROM t GROUP BY vec_id, i""")
+def signal_pitch(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals a fifth (3/2) higher, as long as they were."""
+    out = signals.samples(stretch.shift_pitch(_blocks_of(spark, sf), ["vec_id"], _BLOCK, Fraction(3, 2), 16), ["vec_id"])
+    return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
