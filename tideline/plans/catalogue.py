@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import arrays, text
-from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, stretch, training
+from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, stretch, sweeps, training
 from tideline.operators.steps import settle
 from tideline.sources import text as annotations
 from tideline.streaming import state
@@ -971,3 +971,31 @@ def signal_pitch(spark: SparkSession, sf: str) -> DataFrame:
     """Signals a fifth (3/2) higher, as long as they were."""
     out = signals.samples(stretch.shift_pitch(_blocks_of(spark, sf), ["vec_id"], _BLOCK, Fraction(3, 2), 16), ["vec_id"])
     return out.select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+# ---------------------------------------------------------------- sweeps in slices that follow the data
+
+
+@query(_SQL["iv_merge"])
+def sweep_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return sweeps.merge(events_iv(spark, sf), KEY).select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
+@query(_SQL["iv_complement"])
+def sweep_complement(spark: SparkSession, sf: str) -> DataFrame:
+    iv = events_iv(spark, sf)
+    return sweeps.complement(iv, total_span(iv), KEY).select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
+@query(f"WITH {IV}, {_SOLIDS}, common AS ({_pairs('click', 'view')}), {islands('m', 'user_id', 'common')} SELECT user_id, s AS start_us, e AS end_us FROM m")
+def sweep_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    """What clicks and views have in common; touching parts are one."""
+    out = sweeps.intersect_sets([events_iv(spark, sf, source) for source in ("click", "view")], KEY)
+    return out.select("user_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
+@query(_SQL["speaker_count_durations"])
+def sweep_count_durations(spark: SparkSession, sf: str) -> DataFrame:
+    iv = events_iv(spark, sf, *SOURCES)
+    cls = sweeps.active_classes(iv, total_span(iv), KEY, "source", 2)
+    return cls.groupBy("user_id", F.col("cls").cast("int").alias("n_active")).agg(F.sum(F.col("end") - F.col("start")).alias("micros"))
