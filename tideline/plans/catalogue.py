@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions import arrays, text
 from tideline.operators import chunks, curation, drivers, intervals, labels, metrics, relational, signals, stretch, sweeps, training
-from tideline.operators.steps import settle
+from tideline.operators.runs import Run
+from tideline.operators.steps import settle, shared_dir
 from tideline.sources import text as annotations
+from tideline.sources.parts import write_parts_once
 from tideline.streaming import state
 
 US = 1_000_000
@@ -999,3 +1001,34 @@ def sweep_count_durations(spark: SparkSession, sf: str) -> DataFrame:
     iv = events_iv(spark, sf, *SOURCES)
     cls = sweeps.active_classes(iv, total_span(iv), KEY, "source", 2)
     return cls.groupBy("user_id", F.col("cls").cast("int").alias("n_active")).agg(F.sum(F.col("end") - F.col("start")).alias("micros"))
+
+
+# ---------------------------------------------------------------- runs
+
+
+@query(
+    "WITH s AS (SELECT *, 1 AS position, 'read' AS stage FROM events UNION ALL SELECT *, 2, 'long' FROM events WHERE value >= 10), "
+    "c AS (SELECT position, stage, count(*) AS n, count(*) - count(event_id) AS n1, count(*) - count(user_id) AS n2, count(*) - count(ts) AS n3, count(*) - count(value) AS n4, "
+    "count(*) FILTER (value < 60) AS e1, count(*) FILTER (event_type = 'error') AS e2 FROM s GROUP BY ALL), "
+    "u AS (SELECT position, stage, unnest(['rows', 'nulls', 'nulls', 'nulls', 'nulls', 'errors', 'errors']) AS kind, "
+    "unnest([NULL, 'event_id', 'user_id', 'ts', 'value', 'short', 'failed']) AS name, unnest([n, n1, n2, n3, n4, e1, e2]) AS n FROM c) "
+    "SELECT CAST(position AS INTEGER) AS position, stage, kind, name, n FROM u"
+)
+def observed_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, nulls and errors of two stages, counted while they are written."""
+    run = Run(spark)
+    errors = {"short": F.col("value") < 60, "failed": F.col("event_type") == "error"}
+    read = run.stage("read", table(spark, sf, "events").select("event_id", "user_id", "ts", "value", "event_type"), errors)
+    run.stage("long", read.filter("value >= 10"), errors)
+    return run.table().filter("kind <> 'nulls' or name <> 'event_type'").drop("run")
+
+
+@query(
+    "WITH p AS (SELECT user_id, value, (row_number() OVER (ORDER BY event_id, user_id, ts, event_type, value) - 1) // 400 + 1 AS part FROM events) "
+    "SELECT part, count(*) AS n, min(user_id) AS least_user, max(value) AS most FROM p GROUP BY part"
+)
+def resumable_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of 400 events, listed in a manifest once they are whole."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    made = write_parts_once(events, shared_dir(spark), ["event_id", "user_id", "ts", "event_type", "value"], 400)
+    return made.groupBy("part").agg(F.count("*").alias("n"), F.min("user_id").alias("least_user"), F.max("value").alias("most"))
