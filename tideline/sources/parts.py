@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.relational import numbered_batches
-from tideline.operators.steps import settle
+from tideline.operators.steps import settle, shared_dir
 
 _MANIFEST = "part long, n long, digest string, attempt string, at long"
 
@@ -52,12 +52,12 @@ def write_parts_once(
     or a part's digest may change between runs (it is then made anew). An empty input has no parts.
     """
     spark = df.sparkSession
-    numbered = settle(numbered_batches(df, order, rows).withColumn("_wave", F.floor((F.col("part") - 1) / wave)))
+    numbered = _by_wave(numbered_batches(df, order, rows).withColumn("_wave", F.floor((F.col("part") - 1) / wave)))
     wanted = settle(digests(numbered.drop("_wave"), version))
     old = settle(manifest(spark, path))
     _drop_unlisted(spark, path, old)
     same = ["part", "n", "digest"]
-    missing = wanted.join(old.select(*same), same, "left_anti").withColumn("_wave", F.floor((F.col("part") - 1) / wave))
+    missing = _by_wave(wanted.join(old.select(*same), same, "left_anti").withColumn("_wave", F.floor((F.col("part") - 1) / wave)))
     gone = old.join(wanted, "part", "left_anti")
     at = (old.agg(F.max("at")).first()[0] or 0) + 1
     for w in [r["_wave"] for r in missing.select("_wave").distinct().orderBy("_wave").collect()]:  # a number a wave
@@ -70,6 +70,13 @@ def write_parts_once(
     return read_parts(spark, path)
 
 
+def _by_wave(df: DataFrame) -> DataFrame:
+    """df, written in a folder for each wave, so that a wave reads no other's rows."""
+    path = shared_dir(df.sparkSession)
+    df.write.partitionBy("_wave").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _list(entries: DataFrame, path: str, at: int) -> None:
     """One file of entries, there in whole or not at all."""
     entries.select("part", "n", "digest", "attempt", F.lit(at).cast("long").alias("at")).coalesce(1).write.mode("append").json(f"{path}/manifest")
