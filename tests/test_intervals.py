@@ -152,3 +152,17 @@ def test_spans_bound_the_labels(spark):
     for cell in (None, 4):
         got = sorted(tuple(r) for r in intervals.active_classes(iv, spans, ["k"], "source", 3, cell).collect())
         assert got == [(1, 1, 6, 30), (1, 2, 5, 6)]
+
+
+@pytest.mark.parametrize("cell", [None, 40])
+def test_tasks_follow_the_points(spark, monkeypatch, cell):
+    rows = [(k, s, t, t + 15) for k in range(300) for s in ("a", "b") for t in (0, 20 + k % 7, 60)]
+    iv = spark.createDataFrame(rows, "k long, source string, start long, end long")
+
+    def found():
+        return intervals.active_classes(iv, iv.groupBy("k").agg(F.min("start").alias("start"), F.max("end").alias("end")), ["k"], "source", 2, cell)
+
+    want = sorted(map(tuple, found().collect()))
+    monkeypatch.setattr(intervals, "TASK_POINTS", 200)
+    out = found()
+    assert out.rdd.getNumPartitions() >= 21 and sorted(map(tuple, out.collect())) == want and len(want) > 1000

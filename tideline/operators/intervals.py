@@ -9,6 +9,9 @@ A second one joins what cell borders have cut; only pieces at a border meet
 there, two for each label and cell at most, so that a long recording's other
 pieces stay spread. Without `cell` there is one cell, and no second shuffle.
 
+The shuffles have a task for each TASK_POINTS points, which are counted before: what a task sorts doesn't
+grow with the table. One cell of one recording is still one task's.
+
 A cell should be longer than most intervals, as an interval makes a row for each
 cell that it reaches into. Times may be whole numbers or doubles. Rows without
 start < end (nulls, empty or reversed intervals) are left out.
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 
 SPEAKERS = ("non_speech", "one_spk", "two_spk", "three_spk")
 
+#: Points that a task gets. Its sorts and windows hold up to 800 bytes a point at once.
+TASK_POINTS = 500_000
+
 
 def well_formed(iv: DataFrame) -> DataFrame:
     return iv.filter(F.col("start") < F.col("end"))
@@ -66,6 +72,16 @@ def _changes(points: DataFrame, by: list[str]) -> DataFrame:
     return active.withColumn("step", F.col("_on") - F.coalesce(F.lag("_on").over(order), F.lit(0).cast("long"))).filter("step <> 0").drop("_open", "_after", "_on")
 
 
+def _tasks(points: DataFrame) -> int | None:
+    """Tasks that the points need; none for what fits into one, where Spark's own choice will do."""
+    n = -(-points.count() // TASK_POINTS)
+    return max(n, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else None
+
+
+def _dealt(rows: DataFrame, tasks: int | None, by: list[str]) -> DataFrame:
+    return rows.repartition(tasks, *by) if tasks else rows.repartition(*by)
+
+
 def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, start, end: rows of one group that touch become one; they must not overlap."""
     order = Window.partitionBy(*by).orderBy("start")
@@ -87,7 +103,8 @@ def labelled_segments(
     if spans is not None:
         points = points.unionByName(_points(spans, keys, cell, None, 1))
     group = [*keys, "_c"]
-    points = points.repartition(*group)  # all that follows, up to the cell borders, keeps this layout
+    tasks = _tasks(points)
+    points = _dealt(points, tasks, group)  # all that follows, up to the cell borders, keeps this layout
     if source is not None:
         points = _changes(points, [*group, "_role", "_source"])
     order = Window.partitionBy(*group).orderBy("t")
@@ -99,7 +116,7 @@ def labelled_segments(
     if cell is None:
         return whole.select(*keys, "label", "start", "end")
     at_border = (F.col("start") <= F.col("_c") * F.lit(cell)) | (F.col("end") >= (F.col("_c") + 1) * F.lit(cell))
-    whole = whole.withColumn("_g", F.when(~at_border, F.col("_c"))).repartition(*keys, "_g")
+    whole = _dealt(whole.withColumn("_g", F.when(~at_border, F.col("_c"))), tasks, [*keys, "_g"])
     return _islands(whole, [*keys, "_g", "label"]).select(*keys, "label", "start", "end")
 
 
