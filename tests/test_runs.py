@@ -94,3 +94,16 @@ def content_of_null(df):
 def test_no_parts(spark, rows, tmp_path):
     with pytest.raises(FileNotFoundError):
         parts.write_parts_once(rows.limit(0), str(tmp_path), ["id"], 15)
+
+
+def test_jobs_and_files_do_not_grow_with_the_parts(spark, tmp_path, monkeypatch):
+    def made(n, path):
+        df = spark.range(n).select("id", (F.col("id") * 3).alias("x"))
+        out, n_jobs = jobs(spark, path, lambda: parts.write_parts_once(df, path, ["id"], 2))
+        assert content(out) == [(i // 2 + 1, i, 3 * i) for i in range(n)]
+        assert [r.id for r in parts.read_parts(spark, path, first=3).orderBy("id").collect()] == list(range(6))
+        return n_jobs, sum(f.endswith(".parquet") for _, _, files in os.walk(f"{path}/data") for f in files)
+
+    monkeypatch.setattr(parts, "WAVES", 2)
+    few, many = made(400, str(tmp_path / "few")), made(2000, str(tmp_path / "many"))
+    assert many[0] <= few[0] + 8 and many[1] <= few[1] + 8 and many[1] < 50  # 200 and 1000 parts

@@ -34,14 +34,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def numbered_batches(df: DataFrame, order: list[str], rows: int, bucket_rows: int = 100_000, most: int = 16_384) -> DataFrame:
+def numbered_batches(df: DataFrame, order: list[str], rows: int, bucket_rows: int = 100_000, most: int = 16_384, total: int | None = None) -> DataFrame:
     """df with `part`, from 1: batches of `rows` rows in the given order, no empty last one.
 
     The first order column must be a number. Rows are numbered within ranges of
     it, of about `bucket_rows` rows (and `most` ranges), and by the ranges' sizes, so no task sees all of them.
+    total: the number of rows, if it is known.
     """
     key = F.col(order[0])
-    buckets = max(16, min(most, df.count() // bucket_rows))
+    buckets = max(16, min(most, (df.count() if total is None else total) // bucket_rows))
     cuts = df.agg(F.percentile_approx(order[0], [i / buckets for i in range(1, buckets)], 20 * buckets).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     side = max(1, int(len(cuts) ** 0.5))
