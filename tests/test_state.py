@@ -81,6 +81,17 @@ def test_chunks_in_any_order(spark, how):
     assert got == want and len({w[2] for w in want}) == 3
 
 
+def test_state_has_few_entries(spark):
+    """400 chunks of a key go through some entries of state, not through one each, and come out over several batches."""
+    rows = [("x", "ab"[i % 2], float(10 * i + 1), float(10 * i + 7 + 8 * (i % 3))) for i in range(400)]
+    stream = state.classed_chunks(stream_of(spark, [rows[:150], rows[100:], END]), ["k"], "source", 10 * US, 2, "1000 seconds")
+    query = stream.writeStream.format("memory").queryName("few_entries").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    updated = sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators)
+    got = sorted((r.chunk - int(BASE.timestamp()) // 10, r.label) for r in spark.table("few_entries").collect())
+    assert [c for c, _ in got] == list(range(got[-1][0] + 1)) and len(got) >= 400 and updated < 100
+
+
 def test_late_rows_and_what_is_open(spark):
     """The batch before the last has the watermark at 90 s: the last one's first row is late; what ends after 190 s isn't out at the end."""
     batches = [[("x", "a", 0.0, 20.0), ("x", "a", 15.0, 95.0)], [("x", "a", 100.0, 110.0)], [("x", "a", 100.0, 101.0)], [("x", "a", 80.0, 99.0), ("x", "a", 92.0, 96.0), ("x", "a", 200.0, 201.0), ("x", "a", 150.0, 190.0)]]

@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 from tideline.operators.intervals import SPEAKERS
 from tideline.operators.steps import shared_dir
 
+#: Chunks whose state is one value.
+STRETCH = 128
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -95,33 +97,64 @@ class _Union(StatefulProcessor):
         pass
 
 
-class _Chunk(StatefulProcessor):
-    """The parts of a key's intervals in one chunk, merged for each source; a timer at the chunk's end."""
+class _Chunks(StatefulProcessor):
+    """The intervals of a key in one stretch of chunks, merged for each source; one timer, at the end of the first chunk that is reached.
+
+    Each call of the state is a message to Spark, so a stretch has one value for all its chunks.
+    """
 
     def __init__(self, keys: list[str], size: int, most: int):
         self.keys, self.size, self.most = keys, size, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "source string", "parts array<struct<s: long, e: long>>")
+        self.held = handle.getValueState("held", "at long, parts array<struct<source: string, s: long, e: long>>")
+        self.row = Row(*self.keys, "chunk", "label", "n_tied")
+
+    def _get(self) -> tuple[int | None, dict[str | None, list[tuple[int, int]]]]:
+        """The time of the timer, and the intervals by source."""
+        at, held = self.held.get() or (None, [])
+        by: dict[str | None, list[tuple[int, int]]] = {}
+        for source, s, e in held:
+            by.setdefault(source, []).append((s, e))
+        return at, by
+
+    def _keep(self, by: dict[str | None, list[tuple[int, int]]], timer: int | None) -> None:
+        """timer: when one stands."""
+        if not by:
+            self.held.clear()
+            return
+        at = _millis((min(parts[0][0] for parts in by.values()) // self.size + 1) * self.size)
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+        self.held.update((at, [(source, s, e) for source, parts in by.items() for s, e in parts]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new: dict[str, list[tuple[int, int]]] = {}
+        timer, by = self._get()
         for r in rows:
-            new.setdefault("n" if r._source is None else f"s{r._source}", []).append((r._s, r._e))
-        for source, parts in new.items():
-            if self.held.containsKey((source,)):
-                parts += [(p[0], p[1]) for p in self.held.getValue((source,))[0]]
-            self.held.updateValue((source,), (union(parts),))
-        self.handle.registerTimer(_millis((key[-1] + 1) * self.size))
+            source, s, e = r[-3:]
+            by.setdefault(source, []).append((s, e))
+        self._keep({source: union(parts) for source, parts in by.items()}, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        low = key[-1] * self.size
-        times = class_times([[(p[0], p[1]) for p in v[0]] for v in self.held.values()], low, low + self.size, self.most)
-        self.held.clear()
-        tied = [k for k, t in enumerate(times) if t == max(times)]
-        yield Row(**dict(zip(self.keys, key, strict=True)), label=SPEAKERS[tied[0]], n_tied=len(tied))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 // self.size  # the first chunk that may still change
+        still: dict[str | None, list[tuple[int, int]]] = {}
+        chunks: dict[int, dict[str | None, list[tuple[int, int]]]] = {}
+        for source, parts in self._get()[1].items():
+            for s, e in parts:
+                for chunk in range(s // self.size, min((e - 1) // self.size + 1, passed)):
+                    part = (max(s, chunk * self.size), min(e, (chunk + 1) * self.size))
+                    chunks.setdefault(chunk, {}).setdefault(source, []).append(part)
+                if e > passed * self.size:
+                    still.setdefault(source, []).append((max(s, passed * self.size), e))
+        self._keep(still, None)
+        for chunk, held in chunks.items():
+            low = chunk * self.size
+            times = class_times(list(held.values()), low, low + self.size, self.most)
+            yield self.row(*key[:-1], chunk, SPEAKERS[times.index(max(times))], times.count(max(times)))
 
     def close(self) -> None:
         pass
@@ -132,12 +165,13 @@ def _timed(iv: DataFrame, late: str) -> DataFrame:
     return iv.withWatermark("start", late).filter("start < end").withColumns({"_s": F.unix_micros("start"), "_e": F.unix_micros("end")})
 
 
-def _run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, more: str) -> DataFrame:
+def _run(rows: DataFrame, keys: list[str], processor: StatefulProcessor, more: str, *by: str) -> DataFrame:
+    """The processor's rows, keys and `more`; its state is by the keys and `by`."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only one with such state
     schema = StructType([rows.schema[k] for k in keys])
     for field in StructType.fromDDL(more):
         schema = schema.add(field)
-    return rows.groupBy(*keys).transformWithState(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+    return rows.groupBy(*keys, *by).transformWithState(processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
 def merged(iv: DataFrame, keys: list[str], late: str) -> DataFrame:
@@ -153,20 +187,21 @@ def classed_chunks(iv: DataFrame, keys: list[str], source: str, size: int, sourc
     """keys, chunk, label, n_tied: the class of the longest time in each chunk of `size` microseconds that an interval reaches into.
 
     Chunks count from the epoch. Classes are numbers of sources active at once (`sources` at most), also none; of several
-    with the same time the least wins, and n_tied tells how many there were. State is by key and chunk, so that a busy
-    key is spread over its open chunks.
+    with the same time the least wins, and n_tied tells how many there were. State is by key and stretch of STRETCH chunks,
+    so that few messages go between Spark and Python, and a key with a long past is spread over its stretches.
     """
     if not 0 < sources < len(SPEAKERS):
         raise ValueError(f"sources must be 1 to {len(SPEAKERS) - 1}")
     if "chunk" in keys:
         raise ValueError("no key may be called chunk")
     rows = _timed(iv, late).select(*keys, F.col(source).cast("string").alias("_source"), "start", "_s", "_e")
-    low, high = F.floor(F.col("_s") / size), F.floor((F.col("_e") - 1) / size)
-    # Quotients of whole numbers below 2**53 are doubles; one chunk more on each side, and empty parts go.
-    parts = rows.withColumn("chunk", F.explode(F.sequence(low - 1, high + 1)))
-    inside = {"_s": F.greatest("_s", F.col("chunk") * size), "_e": F.least("_e", (F.col("chunk") + 1) * size)}
-    parts = parts.withColumns(inside).filter("_s < _e").select(*keys, "chunk", "_source", "start", "_s", "_e")
-    return _run(parts, [*keys, "chunk"], _Chunk([*keys, "chunk"], size, sources), "label string, n_tied int")
+    width = size * STRETCH
+    low, high = F.floor(F.col("_s") / width), F.floor((F.col("_e") - 1) / width)
+    # Quotients of whole numbers below 2**53 are doubles; one stretch more on each side, and empty parts go.
+    parts = rows.withColumn("_stretch", F.explode(F.sequence(low - 1, high + 1)))
+    inside = {"_s": F.greatest("_s", F.col("_stretch") * width), "_e": F.least("_e", (F.col("_stretch") + 1) * width)}
+    parts = parts.withColumns(inside).filter("_s < _e").select(*keys, "_stretch", "start", "_source", "_s", "_e")
+    return _run(parts, keys, _Chunks(keys, size, sources), "chunk long, label string, n_tied int", "_stretch")
 
 
 def drained(stream: DataFrame) -> DataFrame:
